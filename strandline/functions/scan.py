@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import cut_lineage
+
 CHUNK = "__chunk"
 DEFAULT_CHUNK_ROWS = 1 << 20
 
@@ -23,8 +25,23 @@ def add_chunk(df: DataFrame, order: str, rows: int = DEFAULT_CHUNK_ROWS) -> Data
     return df.withColumn(CHUNK, F.expr(f"cast(floor({order} / {rows}) as bigint)"))
 
 
-def _local(keys: Sequence[str], order: str):
-    return Window.partitionBy(*keys, CHUNK).orderBy(order)
+def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Chunk number for any order columns: the range partition a row falls into.
+
+    Sampled range bounds balance the partitions whatever the keys look like, so a hot group
+    spans many of them. The result is checkpointed, which fixes the numbers for every reader.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(partitions, *keys, *order)
+    return cut_lineage(placed.withColumn(CHUNK, F.spark_partition_id().cast("bigint")))
+
+
+def _columns(order: str | Sequence[str]) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
+
+
+def _local(keys: Sequence[str], order: str | Sequence[str]):
+    return Window.partitionBy(*keys, CHUNK).orderBy(*_columns(order))
 
 
 def _carry(keys: Sequence[str]):
@@ -32,7 +49,7 @@ def _carry(keys: Sequence[str]):
     return before, before.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column]) -> DataFrame:
+def running_sums(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums by ``order`` within ``keys`` (``df`` carries a chunk column)."""
     keys = list(keys)
     upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
@@ -46,7 +63,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str,
     return joined.select(*df.columns, *[(F.col(f"__l_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums])
 
 
-def running_max_before(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+def running_max_before(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, name: str) -> DataFrame:
     """Maximum of ``value`` over the rows strictly before the current one (null at first)."""
     keys = list(keys)
     before = _local(keys, order).rowsBetween(Window.unboundedPreceding, -1)
@@ -58,19 +75,19 @@ def running_max_before(df: DataFrame, keys: Sequence[str], order: str, value: st
     return joined.select(*df.columns, F.greatest("__l", "__o").alias(name))
 
 
-def previous_row(df: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str], name: str) -> DataFrame:
+def previous_row(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], fields: Sequence[str], name: str) -> DataFrame:
     """Struct of ``fields`` of the row just before in ``order`` within ``keys`` (null at first)."""
     keys = list(keys)
     packed = F.struct(*fields)
     local = df.withColumn("__l", F.lag(packed).over(_local(keys, order)))
-    lasts = df.groupBy(*keys, CHUNK).agg(F.max_by(packed, F.col(order)).alias("__t"))
+    lasts = df.groupBy(*keys, CHUNK).agg(F.max_by(packed, F.struct(*_columns(order))).alias("__t"))
     ordered, _ = _carry(keys)
     carried = lasts.select(*keys, CHUNK, F.lag("__t").over(ordered).alias("__o"))
     joined = local.join(carried, [*keys, CHUNK])
     return joined.select(*df.columns, F.coalesce("__l", "__o").alias(name))
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], name: str) -> DataFrame:
     """1-based position by ``order`` within ``keys``."""
     return running_sums(df, keys, order, {name: F.lit(1)})
 
