@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions import scan
 from strandline.functions.text import tokens
 from strandline.operators.metrics import top_rows
-from strandline.session import BROADCAST_ROWS, broadcast_if_small
+from strandline.session import broadcast_if_small
 
 # Fusion constant, BM25 parameters, defaults of a request.
 RRF_K = 60
@@ -99,12 +100,12 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int
             (held["query_id"].tolist(), held["repo"].tolist(), held["embedding"].tolist())
         )
 
-        def scan(frames):
+        def search(frames):
             q_ids, q_repos, q_matrix = shared.value
             if q_ids:
                 yield keep(q_ids, q_repos, q_matrix, frames)
 
-        partial = vectors.mapInPandas(scan, schema)
+        partial = vectors.mapInPandas(search, schema)
     else:
         q_blocks = math.ceil(queries.count() / query_rows)
         v_blocks = max(1, math.ceil(vectors.count() / block_rows))
@@ -193,8 +194,11 @@ def graph_list(direct: DataFrame, fulltext: DataFrame) -> DataFrame:
         fulltext.select("query_id", "id", F.lit(1).alias("tier"), "score")
     )
     first = tiers.groupBy("query_id", "id").agg(F.min(F.struct("tier", (-F.col("score")).alias("neg"))).alias("t"))
-    order = Window.partitionBy("query_id").orderBy("t.tier", "t.neg", "id")
-    return first.select("query_id", "id", F.col("t.tier").alias("tier"), F.row_number().over(order).alias("rank"))
+    flat = first.select("query_id", "id", "t.tier", "t.neg")
+    # A name shared by a third of all nodes makes one list that long: number it in chunks.
+    order = ["tier", "neg", "id"]
+    placed = scan.range_chunks(flat, ["query_id"], order)
+    return scan.numbered(placed, ["query_id"], order, "rank").select("query_id", "id", "tier", F.col("rank").cast("int").alias("rank"))
 
 
 def ranked_lists(*lists: tuple[DataFrame, str]) -> DataFrame:
