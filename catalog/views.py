@@ -126,9 +126,14 @@ class Tables:
                 raise AttributeError(name)
         return self._made[name]
 
-    def sql(self, text: str) -> DataFrame:
-        used = {n: getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", text))}
-        return self.spark.sql(_substitute(text, "spark"), **used)
+    def sql(self, text: str, **frames: DataFrame) -> DataFrame:
+        """The text as a frame; ``frames`` stand in for tables of their name (micro-batches)."""
+        used = {n: frames[n] if n in frames else getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", text))}
+        spark = next(iter(frames.values())).sparkSession if frames else self.spark
+        # Braces that are part of a literal are doubled for the formatter.
+        pieces = re.split(r"(\{\w+\})", _substitute(text, "spark"))
+        escaped = [p if re.fullmatch(r"\{\w+\}", p) else p.replace("{", "{{").replace("}", "}}") for p in pieces]
+        return spark.sql("".join(escaped), **used)
 
 
 def duckdb_sql(text: str) -> str:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: texts handed to a provider at once.
 BATCH = 64
@@ -14,7 +15,7 @@ BATCH = 64
 def embed(df: DataFrame, provider: Callable[[list[str]], list[list[float]]], batch: int = BATCH, dim: int | None = None,
           text: str = "embed_text") -> DataFrame:
     """Adds ``vector`` from ``provider``, called on each task's texts in batches."""
-    schema = df.schema.add("vector", "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
 
     def run(frames):
         for frame in frames:

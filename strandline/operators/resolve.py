@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.text import strip
+from strandline.session import cut_lineage
 
 # Retries and age after which an unresolved import is dropped.
 MAX_ATTEMPTS, PENDING_HOURS = 5, 24
@@ -87,16 +88,19 @@ def by_name_and_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return refs.join(best, ["repo", "target_name", "path_hint"], "left").select(*refs.columns, "target")
 
 
-def resolve_imports(refs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_imports(refs: DataFrame, nodes: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, unresolved): IMPORTS pairs whose importer exists, and everything else for retry.
 
-    The path lookup runs only for rows the qualified name did not find.
+    The path lookup runs only for rows the qualified name did not find. ``once`` writes the
+    looked-up rows, for callers that use both results.
     """
     exact = by_qualified_name(refs, nodes)
     missed = by_name_and_path(exact.filter(F.col("target").isNull()).drop("target"), nodes)
     found = exact.filter(F.col("target").isNotNull()).unionByName(missed)
     importers = nodes.select(F.col("stable_id").alias("source")).distinct().withColumn("__known", F.lit(True))
     checked = found.join(importers, "source", "left")
+    if once:
+        checked = cut_lineage(checked)
     done = F.col("target").isNotNull() & F.coalesce("__known", F.lit(False))
     edges = checked.filter(done).select("source", "target", F.lit("IMPORTS").alias("type"), F.lit("static").alias("provenance")).distinct()
     return edges, checked.filter(~done).select(refs.columns)
@@ -121,7 +125,7 @@ def is_expired(now: Column) -> Column:
     return (F.col("attempt_count") > MAX_ATTEMPTS) | (age > PENDING_HOURS * 3_600_000_000)
 
 
-def retry_pending(pending: DataFrame, nodes: DataFrame, repos: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def retry_pending(pending: DataFrame, nodes: DataFrame, repos: DataFrame, now: Column, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, pending): one retry cycle for the repositories that had new events.
 
     Expired rows are dropped, unresolved ones come back with one more attempt.
@@ -129,7 +133,7 @@ def retry_pending(pending: DataFrame, nodes: DataFrame, repos: DataFrame, now: C
     idle = pending.join(repos, "repo", "left_anti").select(pending.columns)
     due = pending.join(repos, "repo", "left_semi").filter(~is_expired(now))
     refs = due.withColumnRenamed("source_stable_id", "source")
-    edges, failed = resolve_imports(refs, nodes)
+    edges, failed = resolve_imports(refs, nodes, once)
     again = failed.withColumnRenamed("source", "source_stable_id").withColumns(
         {"attempt_count": F.col("attempt_count") + 1, "attempted_at": now}
     )

@@ -160,18 +160,23 @@ def expiry_epochs(traces: DataFrame, keys: Sequence[str], run: str, ts: str, day
 
 def cross_run_frequencies(
     pairs: DataFrame, keys: Sequence[str], run: str, min_runs: int = MIN_RUNS, distinct_runs: bool = False,
-    chunk_rows: int = scan.DEFAULT_CHUNK_ROWS,
+    chunk_rows: int = scan.DEFAULT_CHUNK_ROWS, history: DataFrame | None = None,
 ) -> DataFrame:
     """Frequency ratio and mean time of each paired call against all runs so far.
 
     ``keys`` identify the entrypoint (with the expiry epoch when used) and ``run`` numbers its
     traces in order. Occurrences count once each unless ``distinct_runs``. Occurrences are
-    summed per (entrypoint, function, run) first; only those rows enter the scans.
+    summed per (entrypoint, function, run) first; only those rows enter the scans. ``history``
+    (keys, fn, n, ms) is what was seen before these pairs and counts as run -1.
     """
     keys = list(keys)
     per_run = pairs.groupBy(*keys, "fn", run).agg(
         F.count(F.lit(1)).alias("__n"), F.sum("avg_ms").alias("__ms")
     )
+    if history is not None:
+        per_run = per_run.unionByName(
+            history.select(*keys, "fn", F.lit(-1).cast("bigint").alias(run), F.col("n").alias("__n"), F.col("ms").alias("__ms"))
+        )
     occurrences = F.lit(1).cast("bigint") if distinct_runs else F.col("__n")
     per_run = scan.add_chunk(per_run, run, chunk_rows)
     cumulative = scan.running_sums(

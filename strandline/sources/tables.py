@@ -107,8 +107,9 @@ class Snapshots:
                 done.append(int(name[1:]))
         return sorted(done)
 
-    def read(self, schema: str) -> DataFrame:
-        done = self.versions()
+    def read(self, schema: str, before: int | None = None) -> DataFrame:
+        """Newest finished version, or the newest one below ``before``."""
+        done = [v for v in self.versions() if before is None or v < before]
         if not done:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/v{done[-1]}")
@@ -141,3 +142,25 @@ def written_back(df: DataFrame, label: str, writer) -> DataFrame:
     path = run_folder(spark, label)
     writer(df, path)
     return spark.read.parquet(path)
+
+
+class ChangeLog:
+    """Append-only batches of keyed rows below one path; readers merge them.
+
+    A stream writes only what its batch holds, never the table. Writing a batch again replaces
+    that batch alone, so a replay changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def append(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def read(self, schema: str) -> DataFrame:
+        """All rows with their ``batch`` number."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(fs_path):
+            return self.spark.createDataFrame([], f"{schema}, batch int")
+        return self.spark.read.schema(f"{schema}, batch int").option("basePath", self.path).parquet(self.path)
