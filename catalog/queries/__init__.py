@@ -2,5 +2,5 @@
 
 import importlib
 
-for _module in ("sources", "traces", "metrics", "search", "graph", "documents", "index", "provenance", "streams"):
+for _module in ("sources", "traces", "metrics", "search", "graph", "documents", "index", "provenance", "streams", "scalars"):
     importlib.import_module(f"catalog.queries.{_module}")

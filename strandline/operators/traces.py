@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import labels, ranks, scan
 from strandline.functions.text import matches_any
+from strandline.session import cut_lineage
 
 TASK = "task"
 # Cross-run frequencies start at this many runs; state expires after this gap.
@@ -75,7 +76,7 @@ def paired_calls(
         *keys, TASK, "seq", "type", "fn", "timestamp_ms",
         F.when(F.col("type") == "call", 1).otherwise(-1).alias("__step"),
     )
-    rows = scan.add_chunk(rows, "seq", chunk_rows)
+    rows = scan.add_chunk(rows, "seq", chunk_rows, events)
     levels = scan.stack_depth(rows, [*keys, TASK], "seq", "__step").filter(~F.col("orphan"))
     matched = scan.previous_row(
         levels, [*keys, TASK, "level"], "seq", ["type", "fn", "timestamp_ms", "seq"], "__open"
@@ -120,7 +121,7 @@ def name_matched_calls(
         *keys, "seq", "type", "fn", "file", "timestamp_ms",
         F.when(F.col("type") == "call", 1).otherwise(-1).alias("__step"),
     )
-    rows = scan.add_chunk(rows, "seq", chunk_rows)
+    rows = scan.add_chunk(rows, "seq", chunk_rows, events)
     levels = scan.stack_depth(rows, [*keys, "fn"], "seq", "__step").filter(~F.col("orphan"))
     matched = scan.previous_row(levels, [*keys, "fn", "level"], "seq", ["type", "timestamp_ms"], "__open")
     return matched.filter((F.col("type") == "return") & (F.col("__open.type") == "call")).select(
@@ -138,7 +139,7 @@ def side_effects(events: DataFrame, keys: Sequence[str], chunk_rows: int = scan.
     rows = events.filter(F.col("type").isin("call", "return", "exception")).select(
         *keys, "seq", "type", "fn", F.when(F.col("type") == "call", 1).otherwise(-1).alias("__step")
     )
-    rows = scan.add_chunk(rows, "seq", chunk_rows)
+    rows = scan.add_chunk(rows, "seq", chunk_rows, events)
     levels = scan.stack_depth(rows, list(keys), "seq", "__step").filter(F.col("type") == "call")
     found = levels.withColumn("kind", labels.side_effect(F.col("fn"))).filter(F.col("kind").isNotNull())
     return (
@@ -170,6 +171,10 @@ def cross_run_frequencies(
     (keys, fn, n, ms) is what was seen before these pairs and counts as run -1.
     """
     keys = list(keys)
+    pairs = cut_lineage(pairs)  # read by three branches below
+    runs_seen = pairs.select(run)
+    if history is not None:
+        runs_seen = runs_seen.unionAll(pairs.sparkSession.createDataFrame([(-1,)], f"{run} bigint"))
     per_run = pairs.groupBy(*keys, "fn", run).agg(
         F.count(F.lit(1)).alias("__n"), F.sum("avg_ms").alias("__ms")
     )
@@ -178,12 +183,12 @@ def cross_run_frequencies(
             history.select(*keys, "fn", F.lit(-1).cast("bigint").alias(run), F.col("n").alias("__n"), F.col("ms").alias("__ms"))
         )
     occurrences = F.lit(1).cast("bigint") if distinct_runs else F.col("__n")
-    per_run = scan.add_chunk(per_run, run, chunk_rows)
+    per_run = scan.add_chunk(per_run, run, chunk_rows, runs_seen)
     cumulative = scan.running_sums(
         per_run, [*keys, "fn"], run, {"runs": occurrences, "total_n": F.col("__n"), "total_ms": F.col("__ms")}
     ).drop(scan.CHUNK, "__n", "__ms")
     tops = cumulative.groupBy(*keys, run).agg(F.max("runs").alias("__top"))
-    earlier = scan.running_max_before(scan.add_chunk(tops, run, chunk_rows), keys, run, "__top", "__earlier")
+    earlier = scan.running_max_before(scan.add_chunk(tops, run, chunk_rows, runs_seen), keys, run, "__top", "__earlier")
     totals = earlier.select(*keys, run, (F.coalesce("__earlier", F.lit(0)) + 1).alias("total_runs"))
     joined = pairs.join(cumulative, [*keys, "fn", run]).join(totals, [*keys, run])
     enough = F.col("total_runs") >= min_runs

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.text import intent_key, keywords
+from strandline.operators.search import DECAY, HOP_DEPTH, MAX_SEEDS, MAX_TOKENS
 from strandline.schemas import QUERY_INTENT
 
 QUERY_TYPES = ["lookup", "flow", "impact"]
@@ -43,3 +44,16 @@ def distinct_questions(df: DataFrame, question: str = "question", repo: str = "r
     rest = [c for c in df.columns]
     keyed = df.withColumn("intent_key", intent_key(F.col(question), F.col(repo)))
     return keyed.groupBy("intent_key").agg(F.min(F.struct(*rest)).alias("r")).select("intent_key", "r.*")
+
+
+def request_defaults(df: DataFrame, max_seeds: int = MAX_SEEDS) -> DataFrame:
+    """Missing or non-positive budgets and seed counts, and the expansion settings, by default."""
+    positive = lambda c, default: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.col(c)).otherwise(default)
+    return df.withColumns(
+        {
+            "max_tokens": positive("max_tokens", MAX_TOKENS),
+            "max_seeds": positive("max_seeds", max_seeds),
+            "hop_depth": F.lit(HOP_DEPTH),
+            "decay": F.lit(DECAY),
+        }
+    )
