@@ -10,10 +10,15 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables with much work per row.
+SPREAD = ["documents", "orders", "lineitem", "events", "conversations"]
+
 VIEWS: dict[str, str] = {}
 
 # Graph nodes and edges.
@@ -121,11 +126,15 @@ class Tables:
             if name in VIEWS:
                 self._made[name] = self.sql(VIEWS[name])
             elif name in TABLES:
-                self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._made[name] = self._read(name)
             else:
                 raise AttributeError(name)
         return self._made[name]
 
+    def _read(self, name: str) -> DataFrame:
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in SPREAD else table
+
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """The text as a frame; ``frames`` stand in for tables of their name (micro-batches)."""
         used = {n: frames[n] if n in frames else getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", text))}

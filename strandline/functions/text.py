@@ -42,6 +42,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def token_count(c: Column) -> Column:
+    """Number of index terms, without building them."""
+    return F.regexp_count(F.lower(c), F.lit("[a-z0-9]+"))
+
+
 def intent_key(question: Column, repo: Column) -> Column:
     """Cache key of a question in a repository."""
     return F.concat(F.lit("query_intent:"), F.sha2(F.concat(strip(F.lower(question)), F.lit("|"), repo), 256))

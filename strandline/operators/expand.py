@@ -76,9 +76,8 @@ def expand(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFr
     for hop in range(hops):
         found = neighbors(visited.filter(F.col("hop") == hop), steps)
         found = found.withColumn("score", labels.hop_score(F.col("score"), decay, F.col("edge_type"), F.col("provenance"), **weights))
-        best = _best(found.filter(F.col("score") > 0).withColumn("hop", F.lit(hop + 1)))
-        best = best.join(active, "stable_id", "left_semi").select(visited.columns)
-        visited = _best(visited.unionByName(best))
+        found = found.filter(F.col("score") > 0).withColumn("hop", F.lit(hop + 1)).join(active, "stable_id", "left_semi")
+        visited = _best(visited.unionByName(found.select(visited.columns)))
         if hop >= 1 and hop + 1 < hops:
             visited = cut_lineage(visited)
     return visited

@@ -55,7 +55,8 @@ def import_targets(imports: DataFrame) -> DataFrame:
 
     ``imports``: import nodes (stable_id, repo, file_path, body).
     """
-    parsed = imports.withColumn("i", parse_import(F.col("body")))
+    # The explode of a single element keeps the statement from being parsed once per use.
+    parsed = imports.withColumn("i", F.explode(F.array(parse_import(F.col("body")))))
     hint = F.when(F.col("i.kind") == "from", path_hint(F.col("i.module"), F.col("file_path"), F.col("i.dots"))).otherwise("")
     return parsed.select(
         F.col("stable_id").alias("source"), "repo", F.col("i.kind").alias("kind"), F.explode("i.names").alias("target_name"), hint.alias("path_hint")
@@ -75,7 +76,7 @@ def by_name_and_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     smallest node before they meet the hints. So a common name with many files and many hints
     never forms all pairs.
     """
-    hinted = refs.filter(F.col("path_hint") != "")
+    hinted = refs.select("repo", "target_name", "path_hint").filter(F.col("path_hint") != "")
     lengths = hinted.select("repo", "target_name", F.length("path_hint").alias("__n")).distinct()
     active = nodes.filter(F.col("active")).select("repo", F.col("name").alias("target_name"), "file_path", "stable_id")
     files = active.groupBy("repo", "target_name", "file_path").agg(F.min("stable_id").alias("stable_id"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import scan
-from strandline.functions.text import tokens
+from strandline.functions.text import token_count, tokens
 from strandline.operators.metrics import top_rows
-from strandline.session import broadcast_if_small
+from strandline.session import broadcast_if_small, cut_lineage
 
 # Fusion constant, BM25 parameters, defaults of a request.
 RRF_K = 60
@@ -128,8 +128,10 @@ def postings(docs: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
     With ``only_terms`` (a ``term`` column) other terms are dropped before the shuffle.
     Repeated terms of a document combine in the task that reads it.
     """
-    split = docs.filter(F.col("active")).withColumn("__t", tokens(F.col("text")))
-    each = split.select("doc_id", "repo", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
+    active = docs.filter(F.col("active"))
+    # Both are computed below the explode, once per document.
+    split = active.select("doc_id", "repo", tokens(F.col("text")).alias("__t")).withColumn("dl", F.size("__t"))
+    each = split.select("doc_id", "repo", "dl", F.explode("__t").alias("term"))
     if only_terms is not None:
         each = each.join(broadcast_if_small(only_terms.select("term").distinct()), "term", "left_semi")
     return each.groupBy("doc_id", "repo", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -138,7 +140,7 @@ def postings(docs: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row: number of active documents and their mean length."""
     return docs.filter(F.col("active")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl")
+        F.count(F.lit(1)).alias("n_docs"), F.avg(token_count(F.col("text"))).alias("avgdl")
     )
 
 
@@ -156,14 +158,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_topk(index: DataFrame, n_docs: int, avgdl: float, terms: DataFrame, k: int) -> DataFrame:
     """Best documents per question among those of its repository, any term matching.
 
-    The index is laid out by document, so a document's score adds up where it lies and only k
-    rows per question and task are exchanged.
+    With an index laid out by document and few enough asked terms to broadcast, a document's
+    score adds up where it lies and only k rows per question and task are exchanged.
     """
     rated = document_frequencies(index).withColumn(
         "idf", F.ln(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     )
     asked = broadcast_if_small(terms.join(rated, "term"))
-    rows = index.repartition("doc_id").join(asked, ["term", "repo"])
+    rows = index.join(asked, ["term", "repo"])
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(float(avgdl)))
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + norm)
     scored = rows.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
@@ -172,10 +174,14 @@ def bm25_topk(index: DataFrame, n_docs: int, avgdl: float, terms: DataFrame, k:
 
 
 def fulltext_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """BM25 straight from document texts (no stored index)."""
+    """BM25 straight from document texts (no stored index).
+
+    The index rows of the asked terms are written once, laid out by document.
+    """
     terms = query_terms(queries)
     stats = corpus_stats(docs).first()
-    return bm25_topk(postings(docs, terms), stats["n_docs"], stats["avgdl"] or 1.0, terms, k)
+    index = cut_lineage(postings(docs, terms).repartition("doc_id"))
+    return bm25_topk(index, stats["n_docs"], stats["avgdl"] or 1.0, terms, k)
 
 
 def symbol_matches(nodes: DataFrame, queries: DataFrame) -> DataFrame:

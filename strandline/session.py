@@ -77,3 +77,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     falls back to a shuffle with adaptive skew splitting.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a plain file scan out to all cores when it has fewer partitions than cores.
+
+    Files that cannot be split would otherwise run all per-row work in a few tasks. A scan of
+    many files or blocks, the usual case on a cluster, is returned as it is. Filters and column
+    selections still reach the files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,7 +13,9 @@ CORRUPT = "_corrupt"
 def _parsed(df: DataFrame, contract: str, column: str) -> DataFrame:
     ddl, _, _ = CONTRACTS[contract]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return df.withColumn("payload", F.from_json(column, f"{ddl}, {CORRUPT} string", options))
+    payload = F.from_json(column, f"{ddl}, {CORRUPT} string", options)
+    # The explode of a single element keeps the optimizer from parsing once per use.
+    return df.withColumn("payload", F.explode(F.array(payload)))
 
 
 def _problem(contract: str, column: str) -> Column:
