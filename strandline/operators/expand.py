@@ -84,9 +84,14 @@ def expand(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFr
 
 
 def _best(rows: DataFrame) -> DataFrame:
-    """Best row per (query, node): score, then the earlier hop, then the smaller parent and edge."""
+    """Best row per (query, node): score, then the earlier hop, then the smaller parent and edge.
+
+    A minimum of structs is aggregated by sorting; the leading 64-bit hash makes most
+    comparisons of that sort a comparison of numbers.
+    """
     rank = F.struct((-F.col("score")).alias("s"), "hop", "parent_id", "edge_type", "provenance")
-    kept = rows.groupBy("query_id", "query_type", "stable_id").agg(F.min(rank).alias("r"))
+    key = F.xxhash64("query_id", "stable_id").alias("__h")
+    kept = rows.groupBy(key, "query_id", "query_type", "stable_id").agg(F.min(rank).alias("r"))
     return kept.select(
         "query_id", "query_type", "stable_id", (-F.col("r.s")).alias("score"), "r.hop", "r.parent_id", "r.edge_type", "r.provenance"
     )

@@ -25,22 +25,22 @@ def subgraph(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Data
         with_specs = visited.withColumn("spec_text", F.lit(None).cast("string"))
     else:
         with_specs = ex.attach_specs(visited, specs)
-    surviving = cut_lineage(ex.prune(with_specs, queries))
+    surviving = ex.prune(with_specs, queries)
     columns = [c for c in NODE_COLUMNS if c in nodes.columns]
     full = ex.hydrate(surviving, nodes, columns)
     missing = {"observed_calls": "int", "branch_coverage": "double"}
     for c in NODE_COLUMNS:
         if c not in columns:
             full = full.withColumn(c, F.lit(None).cast(missing.get(c, "string")))
-    full = doc.display_ids(full)
-    standard = ex.induced_edges(surviving, edges)
-    conflicts, warnings = ex.conflict_edges(surviving, edges)
+    full = cut_lineage(doc.display_ids(full))
+    standard = ex.induced_edges(full, edges)
+    conflicts, warnings = ex.conflict_edges(full, edges)
     return {
         "visited": visited,
         "nodes": full,
         "edges": ex.all_edges(standard, conflicts),
         "warnings": warnings,
-        "totals": ex.totals(visited, surviving, conflicts),
+        "totals": ex.totals(visited, full, conflicts),
     }
 
 
@@ -48,4 +48,6 @@ def answer(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFr
            effects: DataFrame | None = None, **options) -> DataFrame:
     """(query_id, document, tokens). ``queries`` also carries ``raw_query`` and ``repo``."""
     parts = subgraph(queries, seeds, nodes, edges, specs, **options)
-    return doc.assemble(doc.document_lines(queries, parts["nodes"], parts["edges"], parts["warnings"], effects))
+    # The layers read these several times; the budget bounds the nodes they come from.
+    found, warnings = cut_lineage(parts["edges"]), cut_lineage(parts["warnings"])
+    return doc.assemble(doc.document_lines(queries, parts["nodes"], found, warnings, effects))
