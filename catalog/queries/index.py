@@ -324,11 +324,11 @@ def _(t):
     return tb.delete_vectors(tb.upsert_vectors(t.stored_vectors, batch), gone)
 
 
-@query("snk7_metric_append", "select metric_type, entity_id, repo, count(*) n, round(sum(\"value\"), 2) total from {metrics} group by all")
+@query("snk7_metric_append", "select metric_type, entity_id, repo, count(*) n, round(sum(\"value\"), 4) total from {metrics} group by all")
 def _(t):
     rows = t.metrics.select("metric_type", "metric_name", "entity_id", "repo", "value", "unit", "commit_sha", "recorded_at")
     back = tb.written_back(rows, "metrics", tb.append_metrics)
-    return back.groupBy("metric_type", "entity_id", "repo").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return back.groupBy("metric_type", "entity_id", "repo").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("snk10_job_sink", "select repo, case when file_path like '%.go' then 'go' else 'python' end \"language\", stable_id from {d_nodes}")

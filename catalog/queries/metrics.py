@@ -65,7 +65,7 @@ def _(t):
 
 @query(
     "set5_metric_union",
-    f"""with {NAMED} select metric_name, unit, count(*) n, round(sum("value"), 2) total from (
+    f"""with {NAMED} select metric_name, unit, count(*) n, round(sum("value") / 1000000.0e0, 3) total from (
       select 'fn_duration' metric_name, 'ms' unit, avg(duration_ms) "value" from named group by trace_id, entity_id
       union all select 'call_frequency', 'count', count(*) from {{t_events}} where type = 'call' group by trace_id, file, fn
       union all select 'entrypoint_duration', 'ms', duration_ms from {{t_traces}}) group by all""",
@@ -76,7 +76,7 @@ def _(t):
         mt.call_frequencies(t.t_events, TRACE),
         mt.entrypoint_durations(t.t_traces, TRACE, "entry_id"),
     )
-    return whole.groupBy("metric_name", "unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return whole.groupBy("metric_name", "unit").agg(F.count("*").alias("n"), F.round(F.sum("value") / 1e6, 3).alias("total"))
 
 
 @query("ag13_metric_counts", "select repo, metric_type, count(*) cnt from {metrics} group by all")
