@@ -45,7 +45,7 @@ with sized as (
     1.5e0 * cast(sum(source_size) over () as double) wanted
   from totals window a as (order by 2 * source_size / w, source is null, encode(source) rows unbounded preceding)
 ), level as (
-  select coalesce(min(case when 2 * source_size / w >= (wanted - full_before) / open_weight then (wanted - full_before) / open_weight end), 0) lvl
+  select coalesce(max(case when 2 * source_size / w >= (wanted - full_before) / open_weight then (wanted - full_before) / open_weight end), 0) lvl
   from filled
 ), targets as (
   select source, source_size, least(cast(2 * source_size as double), w * lvl) target from totals, level
