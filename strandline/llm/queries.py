@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import line_dedup, mixing
+from strandline.llm import line_dedup, mixing, simhash
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op3_mix_sources(documents):
     return mixing.mix(documents)
 
 
+@query("op5_simhash_groups", "documents")
+def op5_simhash_groups(documents):
+    hex_digits = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
+    return simhash.near_groups(documents).select("doc_id", hex_digits, "component_id")
+
+
 @query(
     "op9_line_dedup",
     "documents",
