@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import line_dedup, mixing, simhash
+from strandline.llm import line_dedup, mixing, packing, simhash
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,18 @@ def query(name: str, table: str, oracle: str | None = None):
     return register
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_pack_documents", "documents")
+def op2_pack_documents(documents):
+    return packing.pack_documents(documents, vocabulary("word_bpe_49k.json"))
+
+
 @query(
     "op3_mix_sources",
     "documents",
