@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import line_dedup, mixing, packing, simhash
+from strandline.llm import line_dedup, mixing, packing, simhash, token_files
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ from keyed left join frequent f on keyed.k = f.k group by doc_id
 def op9_line_dedup(documents):
     kept = line_dedup.drop_repeated_lines(documents, min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op10_token_files", "documents")
+def op10_token_files(documents):
+    return token_files.write_and_read(documents, vocabulary("byte_bpe_50k.json"))
