@@ -7,19 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import line_dedup, mixing, packing, simhash, token_files
+from strandline.llm import line_dedup, mixing, packing, quality, simhash, token_files
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, table: str, oracle: str | None = None):
-    """Register ``fn(table as a frame) -> DataFrame``."""
+def query(name: str, *tables: str, oracle: str | None = None):
+    """Register ``fn(*tables as frames) -> DataFrame``."""
 
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(tune(spark).read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
+            return fn(*(tune(spark).read.parquet(f"{folder.rstrip('/')}/{t}.parquet") for t in tables))
 
         QUERIES[name] = run
         if oracle:
@@ -44,7 +44,7 @@ def op2_pack_documents(documents):
 @query(
     "op3_mix_sources",
     "documents",
-    r"""
+    oracle=r"""
 with sized as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size,
     md5(coalesce(cast(doc_id as varchar), '')||':0') k from documents
@@ -82,10 +82,16 @@ def op5_simhash_groups(documents):
     return simhash.near_groups(documents).select("doc_id", hex_digits, "component_id")
 
 
+@query("op8_quality_rules", "documents", "labels")
+def op8_quality_rules(documents, labels):
+    judged = quality.judge(documents, labels)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query(
     "op9_line_dedup",
     "documents",
-    r"""
+    oracle=r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) pos
   from documents
