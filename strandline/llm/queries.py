@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import line_dedup, mixing, packing, quality, simhash, token_files
+from strandline.llm import langid, line_dedup, mixing, packing, quality, simhash, token_files
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op3_mix_sources(documents):
     return mixing.mix(documents)
 
 
+@query("op4_language_id", "documents")
+def op4_language_id(documents):
+    return langid.predict(documents).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
 @query("op5_simhash_groups", "documents")
 def op5_simhash_groups(documents):
     hex_digits = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
