@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, line_dedup, mixing, packing, quality, simhash, token_files
+from strandline.llm import embed_dedup, langid, line_dedup, mixing, packing, quality, simhash, token_files
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op5_simhash_groups(documents):
     return simhash.near_groups(documents).select("doc_id", hex_digits, "component_id")
 
 
+@query("op7_embedding_groups", "embeddings")
+def op7_embedding_groups(embeddings):
+    return embed_dedup.near_vectors(embeddings)
+
+
 @query("op8_quality_rules", "documents", "labels")
 def op8_quality_rules(documents, labels):
     judged = quality.judge(documents, labels)
