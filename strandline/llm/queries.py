@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import embed_dedup, langid, line_dedup, mixing, packing, quality, simhash, token_files
+from strandline.llm import embed_dedup, html_extract, langid, line_dedup, mixing, packing, quality, simhash, token_files
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_main_text", "pages")
+def op1_main_text(pages):
+    return html_extract.extract(pages)
+
+
 @query("op2_pack_documents", "documents")
 def op2_pack_documents(documents):
     return packing.pack_documents(documents, vocabulary("word_bpe_49k.json"))
