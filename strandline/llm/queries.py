@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import embed_dedup, html_extract, langid, line_dedup, mixing, packing, quality, simhash, token_files
+from strandline.llm import embed_dedup, html_extract, langid, licences, line_dedup, mixing, packing, quality, simhash, token_files
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,12 @@ def op5_simhash_groups(documents):
     return simhash.near_groups(documents).select("doc_id", hex_digits, "component_id")
 
 
+@query("op6_licence_scan", "documents")
+def op6_licence_scan(documents):
+    found = licences.scan(documents)
+    return found.select("doc_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("licences", "rules", "sentences")])
+
+
 @query("op7_embedding_groups", "embeddings")
 def op7_embedding_groups(embeddings):
     return embed_dedup.near_vectors(embeddings)
