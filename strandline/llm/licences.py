@@ -92,7 +92,7 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("MPL-2.0", "mpl-2-line", ("mpl-2-line",)),
     ("Unlicense", "unlicense-line", ("unlicense-line",)),
 ]
-# Sentences without identifier that may stand between two of a rule.
+# Pieces without identifier that may stand between two of a rule.
 GAP = 2
 
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
@@ -113,8 +113,8 @@ def _pieces(text: str):
                 yield words, k < len(parts) - 1
 
 
-def identifiers(text: str) -> list[tuple[int, str]]:
-    """(number of the sentence piece, identifier) of known sentences, in order.
+def identifiers(text: str) -> list[tuple[int, int, str]]:
+    """(first piece, last piece, identifier) of known sentences, in order.
 
     A sentence is looked up as the words from the beginning of a piece to the end of this or a later piece, across
     line ends but no sentence end; of several the longest counts.
@@ -133,7 +133,7 @@ def identifiers(text: str) -> list[tuple[int, str]]:
                 end += 1
                 words += pieces[end][0]
         if best:
-            out.append((k, best[1]))
+            out.append((k, *best))
             k = best[0]
         k += 1
     return out
@@ -146,8 +146,8 @@ def matches(text: str | None) -> list[tuple[str, str, int, int]]:
     while at < len(known):
         for licence, rule, wanted in RULES:
             part = known[at : at + len(wanted)]
-            if tuple(i for _, i in part) == wanted and all(b[0] - a[0] <= GAP + 1 for a, b in zip(part, part[1:], strict=False)):
-                out.append((licence, rule, part[0][0], part[-1][0]))
+            if tuple(i for *_, i in part) == wanted and all(b[0] - a[1] <= GAP + 1 for a, b in zip(part, part[1:], strict=False)):
+                out.append((licence, rule, part[0][0], part[-1][1]))
                 at += len(wanted) - 1
                 break
         at += 1
