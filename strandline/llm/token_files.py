@@ -28,7 +28,7 @@ END = 0
 BLOCK, STEP = 4096, 512
 # Ids of a segment; a longer document makes a longer segment.
 SEGMENT = 8_000_000
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 
 # Binary digits of the weights, of the order-0 frequencies, and of the hashes of one and two ids.
 WEIGHT, FREQUENCY, HASH1, HASH2 = 12, 11, 11, 12
@@ -183,7 +183,8 @@ class _Reader:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """The blocks of a segment: header, a table of (ids, words, crc32) for each block, and their code words."""
+    """The blocks of a segment: header, a table of (ids, words, crc32 of the ids, crc32 of the words) for each block, the
+    crc32 of all that, and the blocks' code words."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     digits = max(1, int(ids.max()).bit_length()) if n else 1
@@ -227,21 +228,30 @@ def encode(ids: np.ndarray) -> bytes:
     head = [MAGIC, struct.pack("<BIQI", digits, BLOCK, n, blocks)]
     for k, w in enumerate(words):
         size = BLOCK if k < blocks - 1 else last
-        head.append(struct.pack("<III", size, len(w) // 2, zlib.crc32(table[k, :size].astype("<u4").tobytes())))
-    return b"".join([*head, *words])
+        head.append(struct.pack("<IIII", size, len(w) // 2, zlib.crc32(table[k, :size].astype("<u4").tobytes()), zlib.crc32(w)))
+    front = b"".join(head)
+    return b"".join([front, struct.pack("<I", zlib.crc32(front)), *words])
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of a segment; raises ``ValueError`` when the data is not one or a block's checksum fails."""
-    if data[:4] != MAGIC:
+    fixed = 4 + struct.calcsize("<BIQI")
+    if data[:4] != MAGIC or len(data) < fixed:
         raise ValueError("not a segment of token ids")
     digits, length, n, blocks = struct.unpack_from("<BIQI", data, 4)
-    at = 4 + struct.calcsize("<BIQI")
-    table = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(blocks, 3)
+    at = fixed + 16 * blocks
+    if len(data) < at + 4 or zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
+        raise ValueError("checksum of the block table fails")
+    table = np.frombuffer(data, "<u4", 4 * blocks, fixed).reshape(blocks, 4)
     if not blocks:
         return np.zeros(0, np.uint32)
     bounds = np.cumsum(np.r_[0, table[:, 1].astype(np.int64)])
-    stream = np.frombuffer(data, "<u2", int(bounds[-1]), at + 12 * blocks)
+    if len(data) != at + 4 + 2 * int(bounds[-1]):
+        raise ValueError("code words are missing")
+    stream = np.frombuffer(data, "<u2", int(bounds[-1]), at + 4)
+    for k, crc in enumerate(table[:, 3]):
+        if zlib.crc32(stream[bounds[k] : bounds[k + 1]].tobytes()) != crc:
+            raise ValueError(f"checksum of the words of block {k} fails")
     reader, model = _Reader([stream[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]), Model(blocks)
     last = int(table[-1, 0])
     ids = np.zeros((blocks, length), np.uint32)
@@ -286,7 +296,7 @@ def decode(data: bytes) -> np.ndarray:
                 contexts[max(0, last - a) :, -1], outcomes[max(0, last - a) :, -1] = 0, ESCAPE
             model.learn(ids, b, contexts.T, outcomes.T, b - a)
     out = ids.ravel()[:n]
-    for k, (size, _, crc) in enumerate(table):
+    for k, (size, _, crc, _) in enumerate(table):
         if zlib.crc32(out[k * length : k * length + int(size)].astype("<u4").tobytes()) != crc:
             raise ValueError(f"checksum of block {k} fails")
     return out
