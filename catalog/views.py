@@ -156,7 +156,11 @@ def duckdb_sql(text: str) -> str:
                 order.append(name)
 
     visit(text)
-    plain = lambda body: re.sub(r"\{(\w+)\}", r"\1", _substitute(body, "duckdb"))
+    def plain(body: str) -> str:
+        # A named part that several others read is evaluated once.
+        body = re.sub(r"\{(\w+)\}", r"\1", _substitute(body, "duckdb"))
+        return body if "recursive" in body.lower() else re.sub(r"(\w) as \((?=\s*select)", r"\1 as materialized (", body)
+
     head = ",\n".join(f"{n} as materialized ({plain(VIEWS[n])})" for n in order)
     body = plain(text).strip()
     if not head:
