@@ -12,18 +12,17 @@ from strandline.operators import metrics as mt
 from strandline.operators import traces as tr
 
 ROUND = lambda c="value": F.round(c, 4).alias(c)
-# Means of few-digit values fall on rounding boundaries; a small shift takes them off, so the
-# summation order of an engine cannot show.
-MEAN = lambda c="value": F.round(F.col(c) + 1.7e-5, 4).alias(c)
+# A mean from an exact sum, for DuckDB.
+EXACT = 'cast(sum(cast({0} as decimal(28,9))) as double) / count({0})'
 METRIC_COLS = ["metric_type", "metric_name", "entity_id", "trace_id", "unit"]
 
 
 @query(
     "ag2_fn_duration",
-    f"with {NAMED} select 'user_code' metric_type, 'fn_duration' metric_name, entity_id, trace_id, 'ms' unit, round(avg(duration_ms) + 1.7e-5, 4) \"value\" from named group by trace_id, entity_id",
+    f"with {NAMED} select 'user_code' metric_type, 'fn_duration' metric_name, entity_id, trace_id, 'ms' unit, {EXACT.format("duration_ms")} \"value\" from named group by trace_id, entity_id",
 )
 def _(t):
-    return mt.fn_durations(tr.name_matched_calls(t.t_events, TRACE), TRACE).select(*METRIC_COLS, MEAN())
+    return mt.fn_durations(tr.name_matched_calls(t.t_events, TRACE), TRACE).select(*METRIC_COLS, "value")
 
 
 @query(
@@ -100,8 +99,7 @@ hot as (select d.repo, d.entity_id, d.v * coalesce(f.v, 1.0) cumulative_ms from
     f"with {HOT} select repo, entity_id, round(cumulative_ms, 4) cumulative_ms from hot",
 )
 def _(t):
-    rows = t.sql(FREQ_ROWS)
-    return mt.hot_functions(rows, ORDER, limit=1 << 30).select("repo", "entity_id", F.round("cumulative_ms", 4).alias("cumulative_ms"))
+    return mt.hot_scores(t.sql(FREQ_ROWS), ORDER).select("repo", "entity_id", F.round("cumulative_ms", 4).alias("cumulative_ms"))
 
 
 @query(
@@ -162,26 +160,26 @@ def _(t):
 
 @query(
     "ag12_regressions",
-    """with b as (select repo, entity_id, avg("value") v from {metrics} where commit_sha = '1996' group by all),
-    h as (select repo, entity_id, avg("value") v from {metrics} where commit_sha = '1997' group by all)
-    select h.repo, h.entity_id, round(b.v + 1.7e-5, 4) base_val, round(h.v + 1.7e-5, 4) head_val, round((h.v - b.v) / nullif(b.v, 0) * 100 + 1.7e-5, 4) pct_change
+    f"""with b as (select repo, entity_id, {EXACT.format('"value"')} v from {{metrics}} where commit_sha = '1996' group by all),
+    h as (select repo, entity_id, {EXACT.format('"value"')} v from {{metrics}} where commit_sha = '1997' group by all)
+    select h.repo, h.entity_id, b.v base_val, h.v head_val, (h.v - b.v) / nullif(b.v, 0) * 100 pct_change
     from h join b on h.repo = b.repo and h.entity_id = b.entity_id where (h.v - b.v) / nullif(b.v, 0) * 100 > 20""",
 )
 def _(t):
-    return mt.regressions(t.metrics, "1996", "1997").select("repo", "entity_id", MEAN("base_val"), MEAN("head_val"), MEAN("pct_change"))
+    return mt.regressions(t.metrics, "1996", "1997").select("repo", "entity_id", "base_val", "head_val", "pct_change")
 
 
 @query(
     "jn19_commit_regressions",
-    """with m as (select repo, entity_id, commit_sha, avg("value") v from {metrics} group by all)
-    select h.repo, h.entity_id, b.commit_sha base_sha, h.commit_sha head_sha, round((h.v - b.v) / nullif(b.v, 0) * 100 + 1.7e-5, 4) pct_change
+    f"""with m as (select repo, entity_id, commit_sha, {EXACT.format('"value"')} v from {{metrics}} group by all)
+    select h.repo, h.entity_id, b.commit_sha base_sha, h.commit_sha head_sha, (h.v - b.v) / nullif(b.v, 0) * 100 pct_change
     from m h join m b on h.repo = b.repo and h.entity_id = b.entity_id and cast(h.commit_sha as int) = cast(b.commit_sha as int) + 1
     where (h.v - b.v) / nullif(b.v, 0) * 100 > 20""",
 )
 def _(t):
     seen = t.metrics.select("repo", F.col("commit_sha").alias("base_sha")).distinct()
     pairs = seen.withColumn("head_sha", (F.col("base_sha").cast("int") + 1).cast("string"))
-    return mt.commit_regressions(t.metrics, pairs).select("repo", "entity_id", "base_sha", "head_sha", MEAN("pct_change"))
+    return mt.commit_regressions(t.metrics, pairs).select("repo", "entity_id", "base_sha", "head_sha", "pct_change")
 
 
 # Messages: one stream per event type; the kinds play traces and paths of one key per user.

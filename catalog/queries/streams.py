@@ -51,10 +51,16 @@ def _(t):
     return out.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "events")
 
 
-@query("st6_work_dedup", "select user_id, event_type, count(*) n from (select distinct user_id, event_type from events) group by all")
+@query(
+    "st6_work_dedup",
+    """with recursive e as materialized (select distinct user_id, event_type, epoch_us(ts) us from events),
+    acc as (select user_id, event_type, min(us) us from e group by all
+      union all select a.user_id, a.event_type, min(e.us) from acc a join e on e.user_id = a.user_id and e.event_type = a.event_type and e.us >= a.us + 86400000000 group by all)
+    select user_id, event_type, us accepted_us from acc""",
+)
 def _(t):
-    rows = wn.dedup_within(stream(t, "events"), ["user_id", "event_type"], "ts", "24 hours").select("user_id", "event_type")
-    return cs.to_table(rows, "dedup").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    rows = wn.readmit_after(stream(t, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts")
+    return cs.to_table(rows, "dedup").select("user_id", "event_type", F.unix_micros("ts").alias("accepted_us"))
 
 
 @query(
@@ -229,8 +235,14 @@ def _(t):
     return work.read("repo string, prev_sha string, current_sha string, full_rescan boolean").select("repo", "current_sha")
 
 
-@query("st18_counters", "select count(*) processed from events")
+@query(
+    "st18_counters",
+    """select 'raw_trace' kind, count(*) received, count(*) filter (where o_orderkey % 10 not in (7, 8, 9)) processed, count(*) filter (where o_orderkey % 10 in (7, 8, 9)) failed,
+    count(*) filter (where o_orderkey % 10 not in (7, 8, 9)) written from orders""",
+)
 def _(t):
-    done = cs.run(cs.start(cs.counted(stream(t, "events"), "seen"), lambda batch, n: batch.write.format("noop").mode("overwrite").save()))
-    total = sum(p.observedMetrics["seen"]["rows"] for p in done.recentProgress if "seen" in p.observedMetrics)
-    return t.spark.createDataFrame([(total,)], "processed bigint")
+    counters, out = (ChangeLog(t.spark, run_folder(t.spark, n)) for n in ("counters", "out"))
+    handle = lambda good, n: out.append(good.select("entrypoint_stable_id"), n)
+    cs.run(cs.consume(over(t, "messages", "orders", stream(t, "orders")), "raw_trace", handle, run_folder(t.spark, "dead"), counters=counters))
+    written = out.read("entrypoint_stable_id string").agg(F.count(F.lit(1)).alias("written"))
+    return cs.counter_totals(counters).crossJoin(written)

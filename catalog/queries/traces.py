@@ -110,7 +110,7 @@ def _(t):
 
 
 FREQ = """
-perrun as (select {keys}, fn, run_no, count(*) n, sum(avg_ms) ms from pairs group by all),
+perrun as (select {keys}, fn, run_no, count(*) n, sum(cast(avg_ms as decimal(28,9))) ms from pairs group by all),
 cumul as (select *, sum(n) over w runs, sum(ms) over w total_ms from perrun window w as (partition by {keys}, fn order by run_no rows unbounded preceding)),
 tops as (select {keys}, run_no, max(runs) top from cumul group by all),
 totals as (select *, coalesce(max(top) over (partition by {keys} order by run_no rows between unbounded preceding and 1 preceding), 0) + 1 total_runs from tops)
@@ -122,7 +122,7 @@ totals as (select *, coalesce(max(top) over (partition by {keys} order by run_no
     f"with {PAIRS}, {FREQ.replace('{keys}', 'repo, entry_id')}"
     """ select p.trace_id, p.task, p.seq, p.fn, cast(c.runs as bigint) runs, cast(t.total_runs as bigint) total_runs,
       round(case when t.total_runs >= 5 then least(1.0, c.runs / cast(t.total_runs as double)) else 1.0 end, 6) frequency_ratio,
-      round(case when t.total_runs >= 5 then c.total_ms / c.runs else p.avg_ms end + 1.7e-5, 4) avg_ms
+      case when t.total_runs >= 5 then cast(c.total_ms as double) / c.runs else p.avg_ms end avg_ms
     from pairs p join cumul c on p.repo = c.repo and p.entry_id = c.entry_id and p.fn = c.fn and p.run_no = c.run_no
       join totals t on p.repo = t.repo and p.entry_id = t.entry_id and p.run_no = t.run_no""",
 )
@@ -131,7 +131,7 @@ def _(t):
     out = tr.cross_run_frequencies(pairs, ["repo", "entry_id"], "run_no")
     return out.select(
         "trace_id", "task", "seq", "fn", "runs", "total_runs",
-        F.round("frequency_ratio", 6).alias("frequency_ratio"), F.round(F.col("avg_ms") + 1.7e-5, 4).alias("avg_ms"),
+        F.round("frequency_ratio", 6).alias("frequency_ratio"), "avg_ms",
     )
 
 

@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 
 CUTS = 64
 
+# Digits after the point that sums keep.
+SUM_TYPE = "decimal(28,9)"
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum as a decimal: the same whatever the order in which partitions add up."""
+    return F.sum(value.cast(SUM_TYPE))
+
+
+def exact_mean(value: Column) -> Column:
+    """Mean from an exact sum; null without values."""
+    return exact_sum(value).cast("double") / F.nullif(F.count(value), F.lit(0))
+
 
 def values_at(df: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """Values at 0-based sorted positions; each pick is an expression of the group size ``n``.

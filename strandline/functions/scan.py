@@ -1,11 +1,11 @@
 """Ordered scans over groups that may be too large for one task.
 
-A plain window puts a whole group in one task. That is used only when the span of the order
-column proves that no group can be large. Otherwise every group is cut into chunks of its
-order column; a window runs inside each chunk, one summary row per chunk is carried over
-the chunks before it, and the carry is joined back on (keys, chunk). The chunk rows of a
-group are the only thing one task ever sees together, so a group holding a third of all
-rows still spreads over the cluster.
+A plain window would put a whole group in one task. Here rows are dealt to range partitions by
+(keys, order), whose sampled bounds balance the partitions whatever the orders look like; the
+partition number is a row's chunk. A window runs inside each chunk of a group, one summary row
+per chunk is carried over the chunks before it, and the carry is joined back on (keys, chunk).
+The summary rows of a group, one for each range partition at most, are the only thing one task
+ever sees together, so a group holding a third of all rows still spreads over the cluster.
 """
 
 from __future__ import annotations
@@ -18,27 +18,12 @@ from pyspark.sql import functions as F
 from strandline.session import cut_lineage
 
 CHUNK = "__chunk"
-DEFAULT_CHUNK_ROWS = 1 << 20
-
-
-def add_chunk(df: DataFrame, order: str, rows: int = DEFAULT_CHUNK_ROWS, source: DataFrame | None = None) -> DataFrame:
-    """Chunk number from a unique integer order column: at most ``rows`` rows share one.
-
-    When the whole column spans fewer than ``rows`` values, no group can hold more rows and the
-    frame comes back without a chunk column. The span is read from ``source`` when given (a
-    cheaper frame with the same column).
-    """
-    low, high = (source if source is not None else df).agg(F.min(order), F.max(order)).first()
-    if low is None or high - low < rows:
-        return df
-    return df.withColumn(CHUNK, F.expr(f"cast(floor({order} / {rows}) as bigint)"))
 
 
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Chunk number for any order columns: the range partition a row falls into.
+    """Chunk number: the range partition that a row falls into by ``keys`` and ``order``.
 
-    Sampled range bounds balance the partitions whatever the keys look like, so a hot group
-    spans many of them. The result is checkpointed, which fixes the numbers for every reader.
+    The result is checkpointed, which fixes the numbers for every reader.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(partitions, *keys, *order)
@@ -49,14 +34,8 @@ def _columns(order: str | Sequence[str]) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
 
 
-def _whole(df: DataFrame) -> bool:
-    """Whether the groups of ``df`` were proven small and need no chunks."""
-    return CHUNK not in df.columns
-
-
-def _local(df: DataFrame, keys: Sequence[str], order: str | Sequence[str]):
-    chunk = [] if _whole(df) else [CHUNK]
-    return Window.partitionBy(*keys, *chunk).orderBy(*_columns(order))
+def _local(keys: Sequence[str], order: str | Sequence[str]):
+    return Window.partitionBy(*keys, CHUNK).orderBy(*_columns(order))
 
 
 def _carry(keys: Sequence[str]):
@@ -67,9 +46,7 @@ def _carry(keys: Sequence[str]):
 def running_sums(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums by ``order`` within ``keys`` (``df`` carries a chunk column)."""
     keys = list(keys)
-    upto = _local(df, keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    if _whole(df):
-        return df.select("*", *[F.sum(v).over(upto).alias(n) for n, v in sums.items()])
+    upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(v).over(upto).alias(f"__l_{n}") for n, v in sums.items()])
     totals = df.groupBy(*keys, CHUNK).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
     _, previous = _carry(keys)
@@ -83,9 +60,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
 def running_max_before(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, name: str) -> DataFrame:
     """Maximum of ``value`` over the rows strictly before the current one (null at first)."""
     keys = list(keys)
-    before = _local(df, keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    if _whole(df):
-        return df.withColumn(name, F.max(value).over(before))
+    before = _local(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("__l", F.max(value).over(before))
     tops = df.groupBy(*keys, CHUNK).agg(F.max(value).alias("__t"))
     _, previous = _carry(keys)
@@ -98,9 +73,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
     """Struct of ``fields`` of the row just before in ``order`` within ``keys`` (null at first)."""
     keys = list(keys)
     packed = F.struct(*fields)
-    if _whole(df):
-        return df.withColumn(name, F.lag(packed).over(_local(df, keys, order)))
-    local = df.withColumn("__l", F.lag(packed).over(_local(df, keys, order)))
+    local = df.withColumn("__l", F.lag(packed).over(_local(keys, order)))
     lasts = df.groupBy(*keys, CHUNK).agg(F.max_by(packed, F.struct(*_columns(order))).alias("__t"))
     ordered, _ = _carry(keys)
     carried = lasts.select(*keys, CHUNK, F.lag("__t").over(ordered).alias("__o"))
@@ -121,12 +94,10 @@ def stack_depth(df: DataFrame, keys: Sequence[str], order: str, step: str) -> Da
     than a loop: a chunk is summarised by its total and its lowest point.
     """
     keys = list(keys)
-    upto = _local(df, keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    before = _local(df, keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    before = _local(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     summed = df.withColumn("__s", F.sum(step).over(upto))
     local = summed.withColumn("__m", F.min("__s").over(before))
-    if _whole(df):
-        return _levels(local, df.columns, step, F.col("__s"), F.least(F.lit(0), F.col("__m")))
     totals = summed.groupBy(*keys, CHUNK).agg(F.sum(step).alias("__t"), F.min("__s").alias("__low"))
     _, previous = _carry(keys)
     offsets = totals.withColumn("__off", F.coalesce(F.sum("__t").over(previous), F.lit(0)))

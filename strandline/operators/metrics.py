@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import scan
+from strandline.functions import ranks, scan
 
 PIPELINE = "_pipeline"
 # Arrival window and tick of the throughput rate, in seconds.
@@ -26,7 +26,7 @@ def _metric(rows: DataFrame, keys: Sequence[str], name: str, entity: Column, val
 
 def fn_durations(named_calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean duration per ``file:function`` within the keys (name-matched pairs in)."""
-    means = named_calls.groupBy(*keys, "entity_id").agg(F.avg("duration_ms").alias("v"))
+    means = named_calls.groupBy(*keys, "entity_id").agg(ranks.exact_mean(F.col("duration_ms")).alias("v"))
     return _metric(means, keys, "fn_duration", F.col("entity_id"), F.col("v"), "ms")
 
 
@@ -114,14 +114,13 @@ def arrival_rates(messages: DataFrame, stream: str, ts: str, window_s: int = RAT
     return spread.groupBy("entity_id", "tick").agg((F.sum("__n") / F.lit(float(window_s))).alias("value"))
 
 
-def processing_lags(messages: DataFrame, keys: Sequence[str], order: str, ts: str, kind: str = "kind",
-                    chunk_rows: int = scan.DEFAULT_CHUNK_ROWS) -> DataFrame:
+def processing_lags(messages: DataFrame, keys: Sequence[str], order: str, ts: str, kind: str = "kind") -> DataFrame:
     """Lag in seconds of each path behind the latest unmatched trace of its key.
 
     A trace is consumed by one path, so a path matches exactly when the row before it (by
     ``order`` within the key) is a trace.
     """
-    rows = scan.add_chunk(messages, order, chunk_rows)
+    rows = scan.range_chunks(messages, keys, [order])
     rows = scan.previous_row(rows, keys, order, [kind, ts], "__before")
     matched = rows.filter((F.col(kind) == "path") & (F.col(f"__before.{kind}") == "trace"))
     micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"__before.{ts}").cast("timestamp"))
@@ -143,8 +142,8 @@ def snapshot_of(snapshot: DataFrame, repo: str) -> DataFrame:
     return snapshot.filter(F.col("repo").isin(repo, PIPELINE))
 
 
-def hot_functions(metrics: DataFrame, order: Sequence[str], limit: int = 20) -> DataFrame:
-    """Per repository: duration times call frequency (1 when unknown), highest first.
+def hot_scores(metrics: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(repo, entity_id, cumulative_ms): duration times call frequency, 1 when unknown.
 
     Both last values come from one aggregate over the metric rows, so nothing is joined.
     """
@@ -154,9 +153,14 @@ def hot_functions(metrics: DataFrame, order: Sequence[str], limit: int = 20) ->
         F.when(F.col("metric_name") == name, F.col("value")), F.when(F.col("metric_name") == name, at)
     )
     scored = rows.groupBy("repo", "entity_id").agg(last("fn_duration").alias("__d"), last("call_frequency").alias("__f"))
-    scored = scored.filter(F.col("__d").isNotNull()).select(
+    return scored.filter(F.col("__d").isNotNull()).select(
         "repo", "entity_id", (F.col("__d") * F.coalesce("__f", F.lit(1.0))).alias("cumulative_ms")
     )
+
+
+def hot_functions(metrics: DataFrame, order: Sequence[str], limit: int = 20) -> DataFrame:
+    """Per repository: the highest scores, ranked."""
+    scored = hot_scores(metrics, order)
     return top_rows(scored, ["repo"], [F.desc("cumulative_ms"), F.col("entity_id")], limit)
 
 
@@ -210,7 +214,7 @@ def regressions(metrics: DataFrame, base_sha: str, head_sha: str, threshold_pct:
         (F.col("metric_type") == "user_code") & (F.col("metric_name") == "fn_duration")
         & F.col("commit_sha").isin(base_sha, head_sha)
     )
-    of = lambda sha: F.avg(F.when(F.col("commit_sha") == sha, F.col("value")))
+    of = lambda sha: ranks.exact_mean(F.when(F.col("commit_sha") == sha, F.col("value")))
     means = rows.groupBy("repo", "entity_id").agg(of(base_sha).alias("base_val"), of(head_sha).alias("head_val"))
     return _grown(means, threshold_pct)
 
@@ -218,7 +222,7 @@ def regressions(metrics: DataFrame, base_sha: str, head_sha: str, threshold_pct:
 def commit_regressions(metrics: DataFrame, comparisons: DataFrame, threshold_pct: float = 20.0) -> DataFrame:
     """The same for a table of (repo, base_sha, head_sha) comparisons, from one mean per commit."""
     rows = metrics.filter((F.col("metric_type") == "user_code") & (F.col("metric_name") == "fn_duration"))
-    means = rows.groupBy("repo", "entity_id", "commit_sha").agg(F.avg("value").alias("__v"))
+    means = rows.groupBy("repo", "entity_id", "commit_sha").agg(ranks.exact_mean(F.col("value")).alias("__v"))
     base = comparisons.join(
         means.select("repo", "entity_id", F.col("commit_sha").alias("base_sha"), F.col("__v").alias("base_val")), ["repo", "base_sha"]
     )

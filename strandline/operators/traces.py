@@ -62,7 +62,6 @@ def paired_calls(
     keys: Sequence[str],
     exception_pops: bool = True,
     by_goroutine: bool = False,
-    chunk_rows: int = scan.DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
     """Positional stack pairing per trace and task.
 
@@ -76,7 +75,7 @@ def paired_calls(
         *keys, TASK, "seq", "type", "fn", "timestamp_ms",
         F.when(F.col("type") == "call", 1).otherwise(-1).alias("__step"),
     )
-    rows = scan.add_chunk(rows, "seq", chunk_rows, events)
+    rows = scan.range_chunks(rows, [*keys, TASK], ["seq"])
     levels = scan.stack_depth(rows, [*keys, TASK], "seq", "__step").filter(~F.col("orphan"))
     matched = scan.previous_row(
         levels, [*keys, TASK, "level"], "seq", ["type", "fn", "timestamp_ms", "seq"], "__open"
@@ -90,13 +89,20 @@ def paired_calls(
     )
 
 
-def linked_calls(events: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def linked_calls(events: DataFrame, pairs: DataFrame, keys: Sequence[str], by_goroutine: bool = False) -> DataFrame:
     """Order of the call sequence: the root task, then each linked child task.
 
     Adds ``link_pos`` (-1 for the root task, else ``seq`` of the async call). A task that is
     never linked is dropped; a task linked twice appears twice. Traces without task ids have
-    only task 0.
+    only task 0. With ``by_goroutine``, as given to ``paired_calls``, every goroutine of a trace
+    is a root of its own: no marker links goroutines.
     """
+    root_rows = F.col(TASK) == 0
+    if by_goroutine:
+        own = events.filter(F.col("task_id").isNull() & F.col("goroutine_id").isNotNull())
+        roots = own.select(*keys, F.col("goroutine_id").cast("bigint").alias(TASK)).distinct().withColumn("__root", F.lit(True))
+        pairs = pairs.join(roots, [*keys, TASK], "left")
+        root_rows = root_rows | F.coalesce("__root", F.lit(False))
     links = assign_tasks(
         events.filter((F.col("type") == "async_call") & F.col("task_id").isNotNull()), keys
     ).select(*keys, TASK, F.col("seq").alias("link_pos"))
@@ -104,14 +110,12 @@ def linked_calls(events: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> Da
     unnamed = events.filter((F.col("type") == "async_call") & F.col("task_id").isNull())
     tasked = events.filter(F.col("task_id").isNotNull()).select(*keys).distinct()
     relinked = unnamed.join(tasked, list(keys), "left_semi").select(*keys, F.lit(0).cast("bigint").alias(TASK), F.col("seq").alias("link_pos"))
-    root = pairs.filter(F.col(TASK) == 0).withColumn("link_pos", F.lit(-1).cast("bigint"))
-    children = pairs.join(links.unionByName(relinked), [*keys, TASK])
+    root = pairs.filter(root_rows).drop("__root").withColumn("link_pos", F.lit(-1).cast("bigint"))
+    children = pairs.drop("__root").join(links.unionByName(relinked), [*keys, TASK])
     return root.unionByName(children.select(root.columns))
 
 
-def name_matched_calls(
-    events: DataFrame, keys: Sequence[str], chunk_rows: int = scan.DEFAULT_CHUNK_ROWS
-) -> DataFrame:
+def name_matched_calls(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pairing by name: a return closes the latest open call of the same function.
 
     Exceptions are ignored. ``entity_id`` is file and function of the return; durations are
@@ -121,7 +125,7 @@ def name_matched_calls(
         *keys, "seq", "type", "fn", "file", "timestamp_ms",
         F.when(F.col("type") == "call", 1).otherwise(-1).alias("__step"),
     )
-    rows = scan.add_chunk(rows, "seq", chunk_rows, events)
+    rows = scan.range_chunks(rows, [*keys, "fn"], ["seq"])
     levels = scan.stack_depth(rows, [*keys, "fn"], "seq", "__step").filter(~F.col("orphan"))
     matched = scan.previous_row(levels, [*keys, "fn", "level"], "seq", ["type", "timestamp_ms"], "__open")
     return matched.filter((F.col("type") == "return") & (F.col("__open.type") == "call")).select(
@@ -131,7 +135,7 @@ def name_matched_calls(
     )
 
 
-def side_effects(events: DataFrame, keys: Sequence[str], chunk_rows: int = scan.DEFAULT_CHUNK_ROWS) -> DataFrame:
+def side_effects(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First occurrence of each (class, detail) per trace with the call depth it happened at.
 
     The depth counts every call, return and exception of the trace, whatever its task.
@@ -139,7 +143,7 @@ def side_effects(events: DataFrame, keys: Sequence[str], chunk_rows: int = scan.
     rows = events.filter(F.col("type").isin("call", "return", "exception")).select(
         *keys, "seq", "type", "fn", F.when(F.col("type") == "call", 1).otherwise(-1).alias("__step")
     )
-    rows = scan.add_chunk(rows, "seq", chunk_rows, events)
+    rows = scan.range_chunks(rows, keys, ["seq"])
     levels = scan.stack_depth(rows, list(keys), "seq", "__step").filter(F.col("type") == "call")
     found = levels.withColumn("kind", labels.side_effect(F.col("fn"))).filter(F.col("kind").isNotNull())
     return (
@@ -149,10 +153,9 @@ def side_effects(events: DataFrame, keys: Sequence[str], chunk_rows: int = scan.
     )
 
 
-def expiry_epochs(traces: DataFrame, keys: Sequence[str], run: str, ts: str, days: int = EXPIRY_DAYS,
-                  chunk_rows: int = scan.DEFAULT_CHUNK_ROWS) -> DataFrame:
+def expiry_epochs(traces: DataFrame, keys: Sequence[str], run: str, ts: str, days: int = EXPIRY_DAYS) -> DataFrame:
     """Epoch of each trace: grows by one whenever the gap to the previous trace exceeds ``days``."""
-    rows = scan.add_chunk(traces, run, chunk_rows)
+    rows = scan.range_chunks(traces, keys, [run])
     rows = scan.previous_row(rows, keys, run, [ts], "__before")
     gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"__before.{ts}"))
     rows = rows.withColumn("__reset", F.when(gap > days * 86_400_000_000, 1).otherwise(0))
@@ -161,7 +164,7 @@ def expiry_epochs(traces: DataFrame, keys: Sequence[str], run: str, ts: str, day
 
 def cross_run_frequencies(
     pairs: DataFrame, keys: Sequence[str], run: str, min_runs: int = MIN_RUNS, distinct_runs: bool = False,
-    chunk_rows: int = scan.DEFAULT_CHUNK_ROWS, history: DataFrame | None = None,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Frequency ratio and mean time of each paired call against all runs so far.
 
@@ -172,27 +175,24 @@ def cross_run_frequencies(
     """
     keys = list(keys)
     pairs = cut_lineage(pairs)  # read by three branches below
-    runs_seen = pairs.select(run)
-    if history is not None:
-        runs_seen = runs_seen.unionAll(pairs.sparkSession.createDataFrame([(-1,)], f"{run} bigint"))
     per_run = pairs.groupBy(*keys, "fn", run).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum("avg_ms").alias("__ms")
+        F.count(F.lit(1)).alias("__n"), ranks.exact_sum(F.col("avg_ms")).alias("__ms")
     )
     if history is not None:
         per_run = per_run.unionByName(
-            history.select(*keys, "fn", F.lit(-1).cast("bigint").alias(run), F.col("n").alias("__n"), F.col("ms").alias("__ms"))
+            history.select(*keys, "fn", F.lit(-1).cast("bigint").alias(run), F.col("n").alias("__n"), F.col("ms").cast(ranks.SUM_TYPE).alias("__ms"))
         )
     occurrences = F.lit(1).cast("bigint") if distinct_runs else F.col("__n")
-    per_run = scan.add_chunk(per_run, run, chunk_rows, runs_seen)
+    per_run = scan.range_chunks(per_run, [*keys, "fn"], [run])
     cumulative = scan.running_sums(
         per_run, [*keys, "fn"], run, {"runs": occurrences, "total_n": F.col("__n"), "total_ms": F.col("__ms")}
     ).drop(scan.CHUNK, "__n", "__ms")
     tops = cumulative.groupBy(*keys, run).agg(F.max("runs").alias("__top"))
-    earlier = scan.running_max_before(scan.add_chunk(tops, run, chunk_rows, runs_seen), keys, run, "__top", "__earlier")
+    earlier = scan.running_max_before(scan.range_chunks(tops, keys, [run]), keys, run, "__top", "__earlier")
     totals = earlier.select(*keys, run, (F.coalesce("__earlier", F.lit(0)) + 1).alias("total_runs"))
     joined = pairs.join(cumulative, [*keys, "fn", run]).join(totals, [*keys, run])
     enough = F.col("total_runs") >= min_runs
-    mean = F.col("total_ms") / F.col("total_n" if distinct_runs else "runs")
+    mean = F.col("total_ms").cast("double") / F.col("total_n" if distinct_runs else "runs")
     return joined.withColumns(
         {
             "frequency_ratio": F.when(enough, F.least(F.lit(1.0), F.col("runs") / F.col("total_runs"))).otherwise(1.0),

@@ -47,11 +47,13 @@ def build(app: str, cores: str = "*", shuffle_partitions: int = 8) -> SparkSessi
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) is a temporary folder made.
+    Where that is not set, a temporary folder is made in local mode; on a cluster it is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if context._jsc.sc().getCheckpointDir().isEmpty():

@@ -34,27 +34,38 @@ def start(stream: DataFrame, each_batch: Handler, checkpoint: str | None = None,
 
 
 def consume(stream: DataFrame, contract: str, handle: Handler, dlq_path: str, post_batch: Callable[[int], None] | None = None,
-            column: str = "event", message_id: str | None = None, **options) -> StreamingQuery:
+            column: str = "event", message_id: str | None = None, counters: ChangeLog | None = None, **options) -> StreamingQuery:
     """Typed consumption at least once.
 
     Records that break the contract go to the dead-letter log under the batch number; anything
-    the handler raises fails the batch, which is then retried. ``observe`` counts both kinds.
+    the handler raises fails the batch, which is then retried. The batch is parsed once and kept
+    while it is worked on. ``counters`` takes a row of counts per batch under its number.
     """
     dlq = ChangeLog(stream.sparkSession, dlq_path)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_dlq(batch, contract, column, message_id)
-        dlq.append(bad, batch_id)
-        handle(good, batch_id)
+        batch = batch.persist()
+        try:
+            good, bad = split_dlq(batch, contract, column, message_id)
+            dlq.append(bad, batch_id)
+            handle(good, batch_id)
+            if counters is not None:
+                ok = good.agg(F.count(F.lit(1)).alias("processed"))
+                failed = bad.agg(F.count(F.lit(1)).alias("failed"))
+                counters.append(ok.crossJoin(failed).select(F.lit(contract).alias("kind"), "processed", "failed"), batch_id)
+        finally:
+            batch.unpersist()
         if post_batch is not None:
             post_batch(batch_id)
 
-    return start(counted(stream, "received"), each, **options)
+    return start(stream, each, **options)
 
 
-def counted(df: DataFrame, name: str) -> DataFrame:
-    """Row count per batch in the query progress under ``name``."""
-    return df.observe(name, F.count(F.lit(1)).alias("rows"))
+def counter_totals(counters: ChangeLog) -> DataFrame:
+    """(kind, received, processed, failed) over all batches; a replayed batch counts once."""
+    rows = counters.read("kind string, processed bigint, failed bigint")
+    sums = rows.groupBy("kind").agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"))
+    return sums.select("kind", (F.col("processed") + F.col("failed")).alias("received"), "processed", "failed")
 
 
 def dual_cadence(metrics: DataFrame, snapshot: Handler, history: Handler, realtime_s: int = REALTIME_S, history_s: int = HISTORY_S):

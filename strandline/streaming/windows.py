@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def with_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -25,9 +27,31 @@ def idle_sessions(stream: DataFrame, keys: list[str], ts: str, gap: str = "7 day
     return grouped.select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), F.col("count").alias("events"))
 
 
-def dedup_within(stream: DataFrame, keys: list[str], ts: str, horizon: str = "24 hours") -> DataFrame:
-    """First row per key; a repeat within the horizon is dropped, state beyond it is forgotten."""
-    return with_time(stream, ts, horizon).dropDuplicatesWithinWatermark(keys)
+def readmit_after(stream: DataFrame, keys: list[str], ts: str, horizon_s: int = 86_400) -> DataFrame:
+    """(keys, ts) of accepted rows: the first of a key, then each that comes ``horizon_s`` or later after the last accepted.
+
+    The state of a key is the time of its last accepted row. Rows of a batch are taken in the order
+    of ``ts``, so the result does not depend on where batches of ordered rows are cut. Of rows at one
+    time one is accepted; a row before the last accepted one is a repeat.
+    """
+    horizon = horizon_s * 1_000_000
+
+    def each(key, frames, state):
+        last = state.get[0] if state.exists else None
+        times = sorted(v for frame in frames for v in frame["__us"])
+        taken = []
+        for us in times:
+            if last is None or us >= last + horizon:
+                taken.append(us)
+                last = us
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame({**{k: pd.Series([v] * len(taken)) for k, v in zip(keys, key, strict=True)}, "__us": pd.Series(taken, dtype="int64")})
+
+    micros = stream.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("__us"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in micros.schema.fields)
+    accepted = micros.groupBy(*keys).applyInPandasWithState(each, kinds, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return accepted.select(*keys, F.timestamp_micros("__us").alias(ts))
 
 
 def correlate(parsed: DataFrame, embedded: DataFrame, keys: list[str], delay: str = "1 hour", within: str = "1 hour") -> DataFrame:

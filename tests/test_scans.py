@@ -40,9 +40,8 @@ def test_stack_pairing_equals_a_stack(spark):
         rows = random_events(seed)
         df = spark.createDataFrame(rows, EVENT)
         want = loop_pairs(rows)
-        for chunk_rows in (7, 1 << 20):
-            got = traces.paired_calls(df, ["trace"], chunk_rows=chunk_rows).select("trace", "task", "seq", "call_seq", "fn", "hop", "avg_ms")
-            assert sorted(map(tuple, got.collect())) == want
+        got = traces.paired_calls(df, ["trace"]).select("trace", "task", "seq", "call_seq", "fn", "hop", "avg_ms")
+        assert sorted(map(tuple, got.collect())) == want
 
 
 def test_name_matching_equals_a_search_from_the_top(spark):
@@ -57,7 +56,7 @@ def test_name_matching_equals_a_search_from_the_top(spark):
                 if stack[i][0] == fn:
                     want.append((trace, seq, f"{file}:{fn}", ts - stack.pop(i)[1]))
                     break
-    got = traces.name_matched_calls(spark.createDataFrame(rows, EVENT), ["trace"], chunk_rows=5)
+    got = traces.name_matched_calls(spark.createDataFrame(rows, EVENT), ["trace"])
     assert sorted(map(tuple, got.select("trace", "seq", "entity_id", "duration_ms").collect())) == sorted(want)
 
 
@@ -65,7 +64,7 @@ def test_side_effect_depth(spark):
     rows = [("t", 0, "return"), ("t", 1, "call"), ("t", 2, "call"), ("t", 3, "exception"), ("t", 4, "call"), ("t", 5, "call")]
     names = {1: "run", 2: "db.execute", 4: "fetchall", 5: "db.execute"}
     df = spark.createDataFrame([(t, s, k, names.get(s, "x"), "f", None, 1.0, None, None) for t, s, k in rows], EVENT)
-    got = traces.side_effects(df, ["trace"], chunk_rows=2).select("type", "detail", "hop_depth")
+    got = traces.side_effects(df, ["trace"]).select("type", "detail", "hop_depth")
     assert sorted(map(tuple, got.collect())) == [("db_read", "fn:fetchall", 1), ("db_write", "fn:db.execute", 1)]
 
 
@@ -83,19 +82,17 @@ def test_cross_run_frequency_equals_a_dictionary(spark):
             n, t = seen[fn]
             want.append((run, i, min(1.0, n / total) if total >= 5 else 1.0, t / n if total >= 5 else ms))
     df = spark.createDataFrame(rows, "entry string, run bigint, i int, fn string, avg_ms double")
-    for chunk_rows in (6, 1 << 20):
-        got = traces.cross_run_frequencies(df, ["entry"], "run", chunk_rows=chunk_rows).select("run", "i", "frequency_ratio", "avg_ms")
-        for a, b in zip(sorted(map(tuple, got.collect())), sorted(want), strict=True):
-            assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 and abs(a[3] - b[3]) < 1e-9
+    got = traces.cross_run_frequencies(df, ["entry"], "run").select("run", "i", "frequency_ratio", "avg_ms")
+    for a, b in zip(sorted(map(tuple, got.collect())), sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 and abs(a[3] - b[3]) < 1e-9
 
 
 def test_expiry_epochs(spark):
     days = [0, 3, 11, 12, 30]
     df = spark.createDataFrame([("e", i, f"2024-01-{1 + d:02d}") for i, d in enumerate(days)], "entry string, run bigint, day string")
     df = df.withColumn("ts", F.col("day").cast("timestamp"))
-    for chunk_rows in (2, 100):
-        got = traces.expiry_epochs(df, ["entry"], "run", "ts", chunk_rows=chunk_rows).orderBy("run")
-        assert [r.epoch for r in got.collect()] == [0, 0, 1, 1, 2]
+    got = traces.expiry_epochs(df, ["entry"], "run", "ts").orderBy("run")
+    assert [r.epoch for r in got.collect()] == [0, 0, 1, 1, 2]
 
 
 def test_lag_matches_a_consume_once_map(spark):
@@ -108,9 +105,8 @@ def test_lag_matches_a_consume_once_map(spark):
         elif key in latest:
             want.append((key, i, ts - latest.pop(key)))
     df = spark.createDataFrame(rows, "key string, i bigint, kind string, at double").withColumn("ts", F.timestamp_seconds("at"))
-    for chunk_rows in (9, 1 << 20):
-        got = metrics.processing_lags(df, ["key"], "i", "ts", chunk_rows=chunk_rows)
-        assert sorted(map(tuple, got.collect())) == sorted(want)
+    got = metrics.processing_lags(df, ["key"], "i", "ts")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_percentiles_are_exact(spark):
@@ -174,3 +170,27 @@ def test_bottleneck_rules(spark):
     assert [r.severity for r in bottlenecks.processing_lag(lags).collect()] == ["warning"]
     rates = spark.createDataFrame([("s:x", 0, 10.0), ("s:x", 1, 2.0)], "entity_id string, tick bigint, value double")
     assert [(r.value, r.severity) for r in bottlenecks.throughput_drop(rates).collect()] == [(80.0, "critical")]
+
+
+def test_no_task_holds_a_hot_trace(spark):
+    """Sparse orders and one trace with nearly all rows: its chunks are a fraction of it each."""
+    rows = [("hot", i * 10_000_000 + i % 7, "call" if i % 2 == 0 else "return", "f", "f.py", None, float(i), None, None) for i in range(4000)]
+    df = spark.createDataFrame(rows + [("cold", 5, "call", "f", "f.py", None, 1.0, None, None)], EVENT)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        placed = scan.range_chunks(df, ["trace"], ["seq"])
+        sizes = [r["count"] for r in placed.filter("trace = 'hot'").groupBy(scan.CHUNK).count().collect()]
+        assert len(sizes) >= 12 and max(sizes) < 800
+        assert traces.paired_calls(df, ["trace"]).count() == 2000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_goroutines_are_roots_of_their_own(spark):
+    rows = [(1, "call", 7), (2, "call", 8), (3, "return", 7), (4, "return", 8)]
+    schema = EVENT + ", goroutine_id bigint"
+    df = spark.createDataFrame([("t", s, k, f"f{g}", "f.py", None, float(s), None, None, g) for s, k, g in rows], schema)
+    pairs = traces.paired_calls(df, ["trace"], by_goroutine=True)
+    linked = traces.linked_calls(df, pairs, ["trace"], by_goroutine=True)
+    assert sorted((r.task, r.fn, r.link_pos) for r in linked.collect()) == [(7, "f7", -1), (8, "f8", -1)]

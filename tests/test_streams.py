@@ -93,3 +93,20 @@ def test_graph_log_orders_deletions(spark):
     got_nodes, got_edges = log.current(nodes, edges, F.current_timestamp())
     assert {r.stable_id: r.active for r in got_nodes.collect()} == {"a": True, "b": True, "c": False}
     assert got_edges.count() == 0
+
+
+def test_work_is_readmitted_after_a_day_however_batches_are_cut(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.streaming import windows as wn
+
+    hours = [0, 1, 23, 24, 30, 47, 48, 49, 100, 123, 124]
+    want = [0, 24, 48, 100, 124]
+    for per_file in (2, 5, 11):
+        folder = run_folder(spark, "jobs")
+        for at in range(0, len(hours), per_file):
+            part = spark.createDataFrame([("k", h * 3600) for h in hours[at : at + per_file]], "key string, s bigint")
+            part.select("key", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+        rows = cs.to_table(wn.readmit_after(stream, ["key"], "ts"), "admitted").collect()
+        assert sorted(int(r.ts.timestamp()) // 3600 for r in rows) == want
