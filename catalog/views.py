@@ -10,15 +10,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.session import spread
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-# Tables with much work per row.
-SPREAD = ["documents", "orders", "lineitem", "events", "conversations"]
-
 VIEWS: dict[str, str] = {}
 
 # Graph nodes and edges.
@@ -132,8 +127,7 @@ class Tables:
         return self._made[name]
 
     def _read(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table) if name in SPREAD else table
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """The text as a frame; ``frames`` stand in for tables of their name (micro-batches)."""

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import scan
 from strandline.functions.text import token_count, tokens
 from strandline.operators.metrics import top_rows
-from strandline.session import broadcast_if_small, cut_lineage
+from strandline.session import cut_lineage
 
 # Fusion constant, BM25 parameters, defaults of a request.
 RRF_K = 60
@@ -19,106 +19,71 @@ MAX_SEEDS = 8
 GATEWAY_SEEDS, MAX_TOKENS, HOP_DEPTH, DECAY = 20, 2000, 2, 0.7
 OVERFETCH = 2
 
-# Most question vectors held by every task at once, and vectors per block beyond that.
-QUERY_ROWS = 4096
-BLOCK_ROWS = 50_000
-
-
-def _block_topk(k: int):
-    """Task-side helper: keeps the best ``k`` rows per question over blocks of vectors."""
-
-    def keep(q_ids, q_repos, q_matrix, frames):
-        import numpy as np
-        import pandas as pd
-
-        def unit(rows):
-            m = np.stack([np.asarray(r, dtype="float64") for r in rows])
-            norms = np.linalg.norm(m, axis=1, keepdims=True)
-            return m / np.where(norms == 0, 1.0, norms)
-
-        q_matrix = unit(q_matrix)
-        of_repo = {}
-        for i, repo in enumerate(q_repos):
-            of_repo.setdefault(repo, []).append(i)
-        best_scores = {r: np.full((len(ix), 0), -np.inf) for r, ix in of_repo.items()}
-        best_ids = {r: np.empty((len(ix), 0), dtype=object) for r, ix in of_repo.items()}
-        for frame in frames:
-            for repo, part in frame.groupby("repo", sort=False):
-                if repo not in of_repo:
-                    continue
-                for start in range(0, len(part), 1024):
-                    block = part.iloc[start:start + 1024]
-                    scores = np.round(q_matrix[of_repo[repo]] @ unit(block["embedding"]).T, 9)
-                    ids = np.broadcast_to(block["id"].to_numpy(dtype=object), scores.shape)
-                    scores = np.concatenate([best_scores[repo], scores], axis=1)
-                    ids = np.concatenate([best_ids[repo], ids], axis=1)
-                    if scores.shape[1] > k:
-                        # Rows strictly above the k-th value, then the smallest ids that equal it.
-                        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
-                        above, equal = scores > kth, scores == kth
-                        room = k - above.sum(axis=1)
-                        chosen = []
-                        for row in range(scores.shape[0]):
-                            ties = np.flatnonzero(equal[row])
-                            if len(ties) > room[row]:
-                                ties = ties[np.argsort(ids[row][ties], kind="stable")[: room[row]]]
-                            chosen.append(np.concatenate([np.flatnonzero(above[row]), ties]))
-                        pick = np.stack(chosen)
-                        scores = np.take_along_axis(scores, pick, axis=1)
-                        ids = np.take_along_axis(ids, pick, axis=1)
-                    best_scores[repo], best_ids[repo] = scores, ids
-        out = []
-        for repo, index in of_repo.items():
-            width = best_scores[repo].shape[1]
-            if width:
-                out.append(pd.DataFrame({
-                    "query_id": np.repeat(np.asarray(q_ids, dtype=object)[index], width),
-                    "id": best_ids[repo].ravel(), "score": best_scores[repo].ravel(),
-                }))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    return keep
+# Questions and vectors of a block; a pair of blocks is one unit of work.
+QUERY_ROWS = 1024
+BLOCK_ROWS = 8192
+# Vectors multiplied at once.
+STRIP = 2048
+
+
+def _block_topk(k: int, schema_columns: list[str]):
+    """Task-side helper: the best ``k`` vectors of a block for each question of a block."""
+
+    def best(rows, places, scores):
+        """Of candidates the first k per row by score, then place."""
+        order = np.lexsort((places, -scores, rows))
+        rows, places, scores = rows[order], places[order], scores[order]
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+        nth = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+        return rows[nth < k], places[nth < k], scores[nth < k]
+
+    def unit(column):
+        m = np.stack([np.asarray(r, dtype="float64") for r in column])
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norms == 0, 1.0, norms)
+
+    def pair(questions, vectors):
+        if not len(questions) or not len(vectors):
+            return pd.DataFrame({c: [] for c in schema_columns})
+        vectors = vectors.sort_values("id", kind="stable")
+        asked, held = unit(questions["embedding"]), unit(vectors["embedding"])
+        found = []
+        for start in range(0, len(held), STRIP):
+            scores = np.round(asked @ held[start : start + STRIP].T, 9)
+            width = scores.shape[1]
+            floor = np.partition(scores, width - k, axis=1)[:, width - k, None] if width > k else -np.inf
+            rows, columns = np.nonzero(scores >= floor)
+            found.append(best(rows, columns + start, scores[rows, columns]))
+        rows, places, scores = best(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        values = questions["query_id"].to_numpy()[rows], vectors["id"].to_numpy()[places], scores
+        return pd.DataFrame(dict(zip(schema_columns, values, strict=True)))
+
+    return pair
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact cosine top-k of each question among the vectors of its repository.
 
-    ``queries``: (query_id, repo, embedding); ``vectors``: (id, repo, embedding). Only the k
-    best of a block ever leave a task; ties go to the smaller id. A question batch counted to
-    be at most ``query_rows`` is shared with every task and the vectors stay where they are.
-    A larger one is cut into blocks of questions and blocks of vectors that meet pairwise.
+    ``queries``: (query_id, repo, embedding); ``vectors``: (id, repo, embedding). Both are cut into
+    blocks by hash within their repository, and blocks of questions and of vectors meet
+    pairwise. Only the k best of a pair ever leave a task; ties go to the smaller id.
     """
-    queries = queries.select("query_id", "repo", "embedding")
-    vectors = vectors.select("id", "repo", "embedding")
+    queries = queries.select("query_id", "repo", "embedding").where(F.col("embedding").isNotNull())
+    vectors = vectors.select("id", "repo", "embedding").where(F.col("embedding").isNotNull())
     ids = dict((f.name, f.dataType.simpleString()) for f in [*queries.schema.fields, *vectors.schema.fields])
+    blocks = lambda df, rows, name: df.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    sizes = blocks(queries, query_rows, "__qs").join(blocks(vectors, block_rows, "__vs"), "repo")
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(sizes, "repo").withColumn("__q", block("query_id", "__qs")).withColumn("__v", all_of("__vs")).drop("__qs", "__vs")
+    right = vectors.join(sizes, "repo").withColumn("__v", block("id", "__vs")).withColumn("__q", all_of("__qs")).drop("__qs", "__vs")
+    # Both sides may come from one frame: new aliases keep their columns apart.
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    unit_of_work = ["repo", "__q", "__v"]
+    pair = _block_topk(k, ["query_id", "id", "score"])
     schema = f"query_id {ids['query_id']}, id {ids['id']}, score double"
-    keep = _block_topk(k)
-    asked = queries.limit(query_rows + 1).count()
-    if asked <= query_rows:
-        held = queries.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast(
-            (held["query_id"].tolist(), held["repo"].tolist(), held["embedding"].tolist())
-        )
-
-        def search(frames):
-            q_ids, q_repos, q_matrix = shared.value
-            if q_ids:
-                yield keep(q_ids, q_repos, q_matrix, frames)
-
-        partial = vectors.mapInPandas(search, schema)
-    else:
-        q_blocks = math.ceil(queries.count() / query_rows)
-        v_blocks = max(1, math.ceil(vectors.count() / block_rows))
-        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        left = queries.withColumn("qb", block("query_id", q_blocks)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-        right = vectors.withColumn("vb", block("id", v_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-        def pair(qs, vs):
-            if not len(qs) or not len(vs):
-                return keep([], [], [[0.0]], [])
-            return keep(qs["query_id"].tolist(), qs["repo"].tolist(), qs["embedding"].tolist(), [vs])
-
-        partial = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(pair, schema)
+    partial = left.groupBy(*unit_of_work).cogroup(right.groupBy(*unit_of_work)).applyInPandas(pair, schema)
     return top_rows(partial, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
@@ -128,12 +93,13 @@ def postings(docs: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
     With ``only_terms`` (a ``term`` column) other terms are dropped before the shuffle.
     Repeated terms of a document combine in the task that reads it.
     """
-    active = docs.filter(F.col("active"))
+    # Splitting texts is the heavy part: deal them out evenly, whatever the files look like.
+    active = docs.filter(F.col("active")).select("doc_id", "repo", "text").repartition(F.col("doc_id"))
     # Both are computed below the explode, once per document.
     split = active.select("doc_id", "repo", tokens(F.col("text")).alias("__t")).withColumn("dl", F.size("__t"))
     each = split.select("doc_id", "repo", "dl", F.explode("__t").alias("term"))
     if only_terms is not None:
-        each = each.join(broadcast_if_small(only_terms.select("term").distinct()), "term", "left_semi")
+        each = each.join(only_terms.select("term").distinct(), "term", "left_semi")
     return each.groupBy("doc_id", "repo", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -158,13 +124,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_topk(index: DataFrame, n_docs: int, avgdl: float, terms: DataFrame, k: int) -> DataFrame:
     """Best documents per question among those of its repository, any term matching.
 
-    With an index laid out by document and few enough asked terms to broadcast, a document's
-    score adds up where it lies and only k rows per question and task are exchanged.
+    Which side of the join moves is left to the sizes that the engine measures.
     """
     rated = document_frequencies(index).withColumn(
         "idf", F.ln(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     )
-    asked = broadcast_if_small(terms.join(rated, "term"))
+    asked = terms.join(rated, "term")
     rows = index.join(asked, ["term", "repo"])
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(float(avgdl)))
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + norm)

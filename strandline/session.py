@@ -1,4 +1,4 @@
-"""Session helpers: runtime settings, checkpoints, and size-checked broadcasts."""
+"""Session helpers: runtime settings, the shared folder and checkpoints."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime-settable options that every plan in this package relies on.
 RUNTIME_OPTIONS = {
@@ -19,9 +18,6 @@ RUNTIME_OPTIONS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# A side is broadcast by hint only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 50_000
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime options to an existing session."""
@@ -70,23 +66,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def run_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``rows`` rows.
-
-    The count stops at ``rows + 1``. A larger frame is returned untouched, so the join
-    falls back to a shuffle with adaptive skew splitting.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a plain file scan out to all cores when it has fewer partitions than cores.
-
-    Files that cannot be split would otherwise run all per-row work in a few tasks. A scan of
-    many files or blocks, the usual case on a cluster, is returned as it is. Filters and column
-    selections still reach the files.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
