@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.queries.index import RESOLVED
 from catalog.queries.metrics import LAGS, MESSAGES
 from catalog.queries.provenance import now
-from catalog.queries.traces import EFFECTS, FREQ, PAIRS, TRACE
+from catalog.queries.traces import EFFECTS, PAIRS, TRACE, WITH_EXPIRY, shifted
 from catalog.registry import query
 from catalog.views import VIEWS
 from strandline.session import run_folder
@@ -17,10 +17,18 @@ from strandline.streaming import maintain as mn
 from strandline.streaming import windows as wn
 
 
-def stream(t, table: str):
-    """The given table as a stream of files."""
-    schema = getattr(t, table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+# Which batch a row arrives in: events week by week, others dealt out by key.
+BATCHES = {"events": "cast(floor((day(ts) - 1) / 7) as int)", "orders": "cast(o_orderkey % 4 as int)", "documents": "cast(doc_id % 4 as int)"}
+
+
+def stream(t, table: str, by: str | None = None):
+    """The whole given table as a stream of one file, hence one micro-batch, per value of ``by`` (else ``BATCHES``)."""
+    rows, by = getattr(t, table), by or BATCHES[table]
+    path = run_folder(t.spark, f"stream-{table}")
+    numbers = [r[0] for r in rows.selectExpr(f"{by} n").distinct().orderBy("n").collect()]
+    for n in numbers:
+        rows.filter(f"{by} = {n}").coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def over(t, view: str, source: str, rows):
@@ -126,7 +134,7 @@ def _(t):
 
 @query(
     "st5_pending_imports",
-    f"with {RESOLVED} select source source_stable_id, target_name, path_hint, 1 attempt_count from allr where sid is null or not known",
+    f"with {RESOLVED} select source source_stable_id, target_name, path_hint, cast(4 - cast(substr(source, 3) as bigint) % 4 as integer) attempt_count from allr where sid is null or not known",
 )
 def _(t):
     state, edges = Snapshots(t.spark, run_folder(t.spark, "pending")), ChangeLog(t.spark, run_folder(t.spark, "imports"))
@@ -135,31 +143,32 @@ def _(t):
     return state.read(mn.PENDING_STATE).select("source_stable_id", "target_name", "path_hint", "attempt_count")
 
 
-@query(
-    "st7_running_frequency",
-    f"with {PAIRS}, {FREQ.replace('{keys}', 'repo, entry_id')} select p.trace_id, p.seq, p.fn, cast(c.runs as bigint) runs, cast(t.total_runs as bigint) total_runs"
-    """ from pairs p join cumul c on p.repo = c.repo and p.entry_id = c.entry_id and p.fn = c.fn and p.run_no = c.run_no
-      join totals t on p.repo = t.repo and p.entry_id = t.entry_id and p.run_no = t.run_no""",
-)
+@query("st7_running_frequency", WITH_EXPIRY.replace("{more}", ""))
 def _(t):
     state, out = Snapshots(t.spark, run_folder(t.spark, "freq-state")), ChangeLog(t.spark, run_folder(t.spark, "freq"))
-    each = mn.frequency_handler(state, out, days=30)
-    cs.run(cs.start(over(t, "t_events", "events", stream(t, "events")), each))
+    cs.run(cs.start(shifted(over(t, "t_events", "events", stream(t, "events")), "ts"), mn.frequency_handler(state, out)))
     schema = "repo string, entry_id bigint, trace_id string, seq bigint, fn string, hop int, frequency_ratio double, avg_ms double, runs bigint, total_runs bigint"
     return out.read(schema).select("trace_id", "seq", "fn", "runs", "total_runs")
 
 
 @query(
     "st8_execution_paths",
-    f"with {PAIRS}, {EFFECTS} select trace_id, sum(n_calls)::bigint n_calls, sum(n_effects)::bigint n_effects from (select trace_id, 1 n_calls, 0 n_effects from pairs where task = 0 union all select trace_id, 0, 1 from effects) group by trace_id",
+    f"""with {PAIRS}, {EFFECTS},
+    links as (select trace_id, task_id task, seq from {{t_events}} where type = 'async_call' and task_id is not null
+      union all select trace_id, 0, seq from {{t_events}} where type = 'async_call' and task_id is null and trace_id in (select trace_id from {{t_events}} where task_id is not null))
+    select trace_id, sum(c)::bigint n_calls, sum(k)::bigint n_linked, sum(e)::bigint n_effects from (select trace_id, 1 c, 0 k, 0 e from pairs where task = 0
+      union all select p.trace_id, 0, 1, 0 from pairs p join links l on l.trace_id = p.trace_id and l.task = p.task union all select trace_id, 0, 0, 1 from effects) group by trace_id""",
 )
 def _(t):
     calls, effects = (ChangeLog(t.spark, run_folder(t.spark, n)) for n in ("calls", "effects"))
     cs.run(cs.start(over(t, "t_events", "events", stream(t, "events")), mn.path_handler(calls, effects, TRACE)))
     key = "repo string, entry_id bigint, trace_id string"
-    rows = calls.read(f"{key}, task bigint, link_pos bigint").filter("link_pos = -1").select("trace_id", F.lit(1).alias("c"), F.lit(0).alias("e"))
-    rows = rows.unionAll(effects.read(key).select("trace_id", F.lit(0), F.lit(1)))
-    return rows.groupBy("trace_id").agg(F.sum("c").alias("n_calls"), F.sum("e").alias("n_effects"))
+    linked = F.col("link_pos") >= 0
+    rows = calls.read(f"{key}, task bigint, link_pos bigint").select(
+        "trace_id", F.when(linked, 0).otherwise(1).alias("c"), F.when(linked, 1).otherwise(0).alias("k"), F.lit(0).alias("e")
+    )
+    rows = rows.unionAll(effects.read(key).select("trace_id", F.lit(0), F.lit(0), F.lit(1)))
+    return rows.groupBy("trace_id").agg(F.sum("c").alias("n_calls"), F.sum("k").alias("n_linked"), F.sum("e").alias("n_effects"))
 
 
 @query("st10_stream_lag", f"with {LAGS} select repo, cast(user_id as varchar) entity, event_id position, round(lag_s, 6) lag_s from lags")
@@ -184,7 +193,10 @@ def _(t):
 
 @query(
     "st12_provenance_stream",
-    "select source, target, provenance from (select 'c:'||o_custkey source, 'o:'||o_orderkey target, case when o_orderstatus = 'F' then 'confirmed' when o_orderstatus = 'O' then 'confirmed' else 'dynamic' end provenance from orders)",
+    # A customer's orders arrive in one batch; before it, a static edge of a customer traced earlier is a conflict, which stays.
+    """select 'c:'||o_custkey source, 'o:'||o_orderkey target, case o_orderstatus when 'F' then 'confirmed' when 'O' then
+      case when o_custkey % 4 <> 0 and n.last_traced_at is not null then 'conflict' else 'confirmed' end else 'dynamic' end provenance
+    from orders left join {p_nodes} n on n.stable_id = 'c:'||o_custkey""",
 )
 def _(t):
     nodes, edges = Snapshots(t.spark, run_folder(t.spark, "nodes")), Snapshots(t.spark, run_folder(t.spark, "edges"))
@@ -201,7 +213,7 @@ def _(t):
     edge_schema = "source string, target string, type string, provenance string, observed_count bigint, confirmed_at timestamp, detail string"
     # Batch numbers start at 0 like the seeded snapshots, so the batches are moved up by one.
     each = mn.provenance_handler(nodes, edges, node_schema, edge_schema, split, lambda: now().cast("timestamp"))
-    cs.run(cs.start(stream(t, "orders"), lambda batch, n: each(batch, n + 1)))
+    cs.run(cs.start(stream(t, "orders", "cast(o_custkey % 4 as int)"), lambda batch, n: each(batch, n + 1)))
     return edges.read(edge_schema).select("source", "target", "provenance")
 
 
@@ -211,7 +223,9 @@ def _(t):
 )
 def _(t):
     log = ChangeLog(t.spark, run_folder(t.spark, "specs"))
-    cs.run(cs.start(over(t, "sp_batch", "orders", stream(t, "orders")), mn.log_handler(log)))
+    top = t.orders.agg(F.max("o_orderkey")).first()[0]
+    ordered = stream(t, "orders", f"cast(o_orderkey * 4 div {top + 1} as int)")
+    cs.run(cs.start(over(t, "sp_batch", "orders", ordered), mn.log_handler(log)))
     schema = "node_stable_id string, repo string, commit_sha string, spec_text string, branch_coverage double, observed_calls int, o_orderkey bigint"
     base = t.spark.createDataFrame([], "node_stable_id string, repo string, commit_sha string, version int, spec_text string, branch_coverage double, observed_calls int, generated_at timestamp")
     out = mn.current_specs(base, log, schema, now().cast("timestamp"), ["o_orderkey"])
@@ -227,12 +241,17 @@ def _(t):
     return mn.current_vectors(vectors, None, log.read("stable_id string"))
 
 
-@query("st17_commit_marks_stream", "select 'repo'||(user_id % 40) repo, arg_max('s'||event_id, event_id) current_sha from events group by 1")
+# Each week is a batch: a repository's work goes from the last commit of its last batch to that of this one.
+@query(
+    "st17_commit_marks_stream",
+    """select repo, coalesce(lag(current_sha) over (partition by repo order by wk), '') prev_sha, current_sha
+    from (select 'repo'||(user_id % 40) repo, floor((day(ts) - 1) / 7) wk, arg_max('s'||event_id, event_id) current_sha from events group by 1, 2)""",
+)
 def _(t):
     state, work = Snapshots(t.spark, run_folder(t.spark, "marks")), ChangeLog(t.spark, run_folder(t.spark, "work"))
     commits = stream(t, "events").select(F.concat(F.lit("repo"), F.col("user_id") % 40).alias("repo"), F.col("event_id").alias("seq"), F.concat(F.lit("s"), "event_id").alias("sha"))
     cs.run(cs.start(commits, mn.commit_handler(state, work.append)))
-    return work.read("repo string, prev_sha string, current_sha string, full_rescan boolean").select("repo", "current_sha")
+    return work.read("repo string, prev_sha string, current_sha string, full_rescan boolean").select("repo", F.coalesce("prev_sha", F.lit("")).alias("prev_sha"), "current_sha")
 
 
 @query(

@@ -135,18 +135,23 @@ def _(t):
     )
 
 
-# Only the even weeks of two thirds of the entries are kept, so some gaps exceed seven days.
-EPOCHS = """
-sparse as (select * from {t_traces} where entry_id % 3 = 0 or run_no <> 2),
-gaps as (select *, case when epoch_us(started) - epoch_us(lag(started) over (partition by repo, entry_id order by run_no)) > 604800000000 then 1 else 0 end reset from sparse),
+# From the third week on, two thirds of the entries run eight days later, so some gaps exceed seven days.
+LATER = "entry_id % 3 <> 0 and run_no >= 2"
+EPOCHS = f"""
+shifted as (select * replace (case when {LATER} then started + interval 8 days else started end as started) from {{t_traces}}),
+gaps as (select *, case when epoch_us(started) - epoch_us(lag(started) over (partition by repo, entry_id order by run_no)) > 604800000000 then 1 else 0 end reset from shifted),
 epochs as (select *, cast(sum(reset) over (partition by repo, entry_id order by run_no rows unbounded preceding) as bigint) epoch from gaps)
 """
 
 
+def shifted(rows, column):
+    """The rows with the time of ``column`` moved where ``LATER`` says so."""
+    at = F.col(column).cast("timestamp")
+    return rows.withColumn(column, F.when(F.expr(LATER), at + F.expr("interval 8 days")).otherwise(at))
+
+
 def _epochs(t):
-    sparse = t.t_traces.filter((F.col("entry_id") % 3 == 0) | (F.col("run_no") != 2))
-    sparse = sparse.withColumn("started", F.col("started").cast("timestamp"))
-    return tr.expiry_epochs(sparse, ["repo", "entry_id"], "run_no", "started")
+    return tr.expiry_epochs(shifted(t.t_traces, "started"), ["repo", "entry_id"], "run_no", "started")
 
 
 @query("wn6_expiry_epochs", f"with {EPOCHS} select trace_id, run_no, epoch from epochs")
@@ -154,14 +159,16 @@ def _(t):
     return _epochs(t).select("trace_id", "run_no", "epoch")
 
 
-@query(
-    "wn6_frequency_with_expiry",
+WITH_EXPIRY = (
     f"with {PAIRS.replace('from {t_events} where', 'from {t_events} join epochs using (repo, entry_id, trace_id, run_no) where').replace('steps as', EPOCHS.strip() + ', steps as', 1).replace('run_no, task, seq, pseq', 'run_no, epoch, task, seq, pseq').replace('run_no, coalesce', 'run_no, epoch, coalesce')}, "
     f"{FREQ.replace('{keys}', 'repo, entry_id, epoch')}"
-    """ select p.trace_id, p.task, p.seq, p.fn, cast(c.runs as bigint) runs, cast(t.total_runs as bigint) total_runs
+    """ select p.trace_id, {more} p.seq, p.fn, cast(c.runs as bigint) runs, cast(t.total_runs as bigint) total_runs
     from pairs p join cumul c on p.repo = c.repo and p.entry_id = c.entry_id and p.epoch = c.epoch and p.fn = c.fn and p.run_no = c.run_no
-      join totals t on p.repo = t.repo and p.entry_id = t.entry_id and p.epoch = t.epoch and p.run_no = t.run_no""",
+      join totals t on p.repo = t.repo and p.entry_id = t.entry_id and p.epoch = t.epoch and p.run_no = t.run_no"""
 )
+
+
+@query("wn6_frequency_with_expiry", WITH_EXPIRY.replace("{more}", "p.task,"))
 def _(t):
     epochs = _epochs(t).select(*TRACE, "epoch")
     events = t.t_events.join(epochs, TRACE)
