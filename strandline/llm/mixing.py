@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACES, WORD, stored
+from strandline.llm.common import SPACES, WORD, stored, text_key
 from strandline.llm.prefix import running_total
 
 WEIGHTS = (3, 1, 2)
@@ -52,9 +52,7 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, r
     documents, and those that are equal throughout may change places. Other columns are ignored.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = docs.select("doc_id", F.col("source").alias("_source"), *carry, size.alias("size"))
-    if not carry:
-        sizes = stored(sizes, "sizes")
+    sizes = stored(docs.select("doc_id", F.col("source").alias("_source"), *carry, size.alias("size")), "sizes")
     targets = source_targets(sizes.select(F.col("_source").alias("source"), "size"), weights, share, repeats)
     rows = sizes.join(targets, F.col("_source").eqNullSafe(F.col("source"))).drop("source", "_source")
     rows = rows.withColumn("_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))))
@@ -71,19 +69,25 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows of which nothing is taken go, among them all without a word. Columns are those of ``docs``.
     """
-    whole = docs.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns]))
-    taken = mix(whole.select("doc_id", "text", "source", "_row"), carry=("_row",), **options)
-    copies = taken.select("_row", "size", F.explode(F.expr(
-        "concat(if(taken >= size, array_repeat(size, int(taken div greatest(size, 1))), cast(array() as array<bigint>)),"
-        " if(size > 0 and taken % size > 0, array(taken % size), cast(array() as array<bigint>)))"
-    )).alias("_words"))
+    keyed = docs.withColumns({"_id": F.col("doc_id"), "_row_key": F.xxhash64(text_key(F.col("text")), F.col("source"), F.col("source").isNull())})
+    taken = mix(keyed.select("doc_id", "text", "source", "_row_key"), carry=("_row_key",), **options)
+    # Rows equal in id, text and source are one text that is taken as often as they are together.
+    sums = taken.where("taken > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("_row_key").alias("_text")).agg(
+        F.sum("taken").alias("_taken"), F.min("size").alias("_size")
+    )
+    same = (F.col("_row_key") == F.col("_text")) & F.col("_id").eqNullSafe(F.col("_doc"))
+    alike = Window.partitionBy("_row_key", "_id").orderBy("_id")
+    once = keyed.join(sums, same).withColumn("_n", F.row_number().over(alike)).where("_n = 1")
+    copies = once.withColumn("_words", F.explode(F.expr(
+        "concat(array_repeat(_size, int(_taken div _size)), if(_taken % _size > 0, array(_taken % _size), cast(array() as array<bigint>)))"
+    )))
     # Each piece is a word with the white space after it; white space before the first word is a piece of its own.
-    pieces = F.split("_row.text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    leading = F.when(F.col("_row.text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    leading = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     cut = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int") + leading), ""), F.lit(SPACES))
-    text = F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("_row.text"))
-    out = copies.select(text.alias("_text"), "_row.*")
-    columns = {"text": F.col("_text")}
+    columns = {"text": F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.char_length(F.col("_text")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(columns).select(*docs.columns)
+        whole = F.col("_words") == F.col("_size")
+        n_chars = F.when(whole, F.col("n_chars")).otherwise(F.char_length(cut))
+        columns["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
+    return copies.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
