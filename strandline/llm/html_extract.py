@@ -347,10 +347,13 @@ def extract(pages: DataFrame, carry: tuple = ("page_id", "url")) -> DataFrame:
     """(*carry, text, n_chars) of every row of ``pages`` (html, *carry).
 
     The field is trained on a bounded sample of pages that have an article or main element, taken in hash order of
-    url and html; without any it finds no main text. A null or empty page has an empty text. Rows repeat as they come.
+    html; without any it finds no main text. A null or empty page has an empty text. Rows repeat as they come.
     """
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select(F.xxhash64("html").alias("h"), F.substring("html", 1, EXCERPT).alias("page"))
-    sample = [r.page for r in marked.orderBy("h", "page").limit(SAMPLE).collect()]
+    # Hashes decide first, so that few pages travel however many tasks there are; copies of a page count once.
+    smallest = [r.h for r in marked.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    chosen = marked.where(F.col("h") <= (smallest[-1] if smallest else 0)).groupBy("h").agg(F.min("page").alias("page"))
+    sample = [r.page for r in sorted(chosen.collect())]
     rows = pages.select(*carry, "html")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_extract(len(carry), train(sample)), f"{types}, text string, n_chars long")
