@@ -27,8 +27,8 @@ from strandline.llm.tokens import encoder
 END = 0
 BLOCK, STEP = 4096, 512
 # Ids of a segment; a longer document makes a longer segment.
-SEGMENT = 8_000_000
-MAGIC = b"CMR2"
+SEGMENT = 4_000_000
+MAGIC = b"CMR3"
 
 # Binary digits of the weights, of the order-0 frequencies, and of the hashes of one and two ids.
 WEIGHT, FREQUENCY, HASH1, HASH2 = 12, 11, 11, 12
@@ -36,7 +36,7 @@ TOTAL = WEIGHT + FREQUENCY
 ORDER2, ORDER1, ORDER0, ESCAPE = range(4)
 _CONTEXTS = 5
 _U = np.uint64
-_WORD, _HIGH, _LOW = _U(16), _U(48), _U(1) << _U(32)
+_WORD, _LOW, _REST = _U(32), _U(1) << _U(32), (_U(1) << _U(32)) - _U(1)
 
 
 class Model:
@@ -93,8 +93,8 @@ class Model:
         np.not_equal(self.recent[:, 1:], self.recent[:, :-1], out=change[:, 1:])
         starts = np.flatnonzero(change)
         lengths = np.diff(np.r_[starts, blocks * size])
-        self.first = np.repeat((starts & (size - 1)).astype(_U), lengths)
-        self.many = np.repeat(lengths.astype(_U), lengths)
+        self.first = np.repeat((starts & (size - 1)).astype(np.uint32), lengths)
+        self.many = np.repeat(lengths.astype(np.uint32), lengths)
         self.recent = self.recent.ravel()
 
 
@@ -113,39 +113,39 @@ def _steps(width: int):
         a, b = b, min(b + min(b, STEP), width)
 
 
+def _settle(low, wide):
+    """(low, range) after the upper 32 digits are written: a range across their next step keeps its part below it."""
+    return low << _WORD, np.minimum(wide, _LOW - (low & _REST)) << _WORD
+
+
 class _Writer:
-    """Range encoders without carry, one for each block; words of 16 bits."""
+    """Range encoders without carry, one for each block; a word of 32 digits is written when the range falls below that."""
 
     def __init__(self, blocks: int, words: int):
         self.low = np.zeros(blocks, _U)
         self.range = np.full(blocks, ~_U(0))
-        self.out = np.zeros(blocks * words, np.uint16)
+        self.out = np.zeros(blocks * words, np.uint32)
         self.at = np.arange(blocks) * words
         self.begin = self.at.copy()
 
     def code(self, rows, start, size, digits):
-        """``rows`` is a slice or an index array; the interval is start .. start + size out of 2 ** digits."""
+        """``rows`` is a slice from 0 or an index array; the interval is start .. start + size out of 2 ** digits."""
         unit = self.range[rows] >> _U(digits)
         low, wide = self.low[rows] + start * unit, unit * size
         self.low[rows], self.range[rows] = low, wide
-        index = np.arange(len(low)) if isinstance(rows, slice) else rows
-        while True:
-            settled = ((low ^ (low + wide)) >> _HIGH) == 0
-            move = np.flatnonzero(settled | (wide < _LOW))
-            if not len(move):
-                return
-            low, wide, settled, index = low[move], wide[move], settled[move], index[move]
-            wide = np.where(settled, wide, (~low + _U(1)) & (_LOW - _U(1))) << _WORD
-            self.out[self.at[index]] = (low >> _HIGH).astype(np.uint16)
+        move = np.flatnonzero(wide < _LOW)
+        if len(move):
+            low, wide = low[move], wide[move]
+            index = move if isinstance(rows, slice) else rows[move]
+            self.out[self.at[index]] = (low >> _WORD).astype(np.uint32)
             self.at[index] += 1
-            low = low << _WORD
-            self.low[index], self.range[index] = low, wide
+            self.low[index], self.range[index] = _settle(low, wide)
 
     def finish(self):
-        for shift in (48, 32, 16, 0):
-            self.out[self.at] = (self.low >> _U(shift)).astype(np.uint16)
+        for shift in (32, 0):
+            self.out[self.at] = (self.low >> _U(shift)).astype(np.uint32)
             self.at += 1
-        return [self.out[a:b].tobytes() for a, b in zip(self.begin, self.at, strict=True)]
+        return [self.out[a:b].astype("<u4").tobytes() for a, b in zip(self.begin, self.at, strict=True)]
 
 
 class _Reader:
@@ -154,9 +154,9 @@ class _Reader:
     def __init__(self, words: list[np.ndarray]):
         blocks = len(words)
         self.low, self.range, self.seen = np.zeros(blocks, _U), np.full(blocks, ~_U(0)), np.zeros(blocks, _U)
-        self.words = np.concatenate([*words, np.zeros(8, np.uint16)]).astype(np.uint64)
+        self.words = np.concatenate([*words, np.zeros(4, np.uint32)]).astype(np.uint64)
         self.at = np.cumsum([0, *map(len, words[:-1])])
-        for _ in range(4):
+        for _ in range(2):
             self.seen = self.seen << _WORD | self.words[self.at]
             self.at += 1
 
@@ -168,16 +168,11 @@ class _Reader:
         unit = self.range[rows] >> _U(digits)
         low, wide = self.low[rows] + start * unit, unit * size
         self.low[rows], self.range[rows] = low, wide
-        index = np.arange(len(low)) if isinstance(rows, slice) else rows
-        while True:
-            settled = ((low ^ (low + wide)) >> _HIGH) == 0
-            move = np.flatnonzero(settled | (wide < _LOW))
-            if not len(move):
-                return
-            low, wide, settled, index = low[move], wide[move], settled[move], index[move]
-            wide = np.where(settled, wide, (~low + _U(1)) & (_LOW - _U(1))) << _WORD
-            low = low << _WORD
-            self.low[index], self.range[index] = low, wide
+        move = np.flatnonzero(wide < _LOW)
+        if len(move):
+            low, wide = low[move], wide[move]
+            index = move if isinstance(rows, slice) else rows[move]
+            self.low[index], self.range[index] = _settle(low, wide)
             self.seen[index] = self.seen[index] << _WORD | self.words[self.at[index]]
             self.at[index] += 1
 
@@ -192,7 +187,7 @@ def encode(ids: np.ndarray) -> bytes:
     padded[:n] = ids
     table = padded.reshape(blocks, BLOCK)
     last = n - (blocks - 1) * BLOCK
-    model, writer = Model(blocks), _Writer(blocks, 2 * BLOCK + 8)
+    model, writer = Model(blocks), _Writer(blocks, 2 * BLOCK + 4)
     width = BLOCK if blocks > 1 else last
     for a, b in _steps(width):
         part = table[:, a:b]
@@ -228,7 +223,7 @@ def encode(ids: np.ndarray) -> bytes:
     head = [MAGIC, struct.pack("<BIQI", digits, BLOCK, n, blocks)]
     for k, w in enumerate(words):
         size = BLOCK if k < blocks - 1 else last
-        head.append(struct.pack("<IIII", size, len(w) // 2, zlib.crc32(table[k, :size].astype("<u4").tobytes()), zlib.crc32(w)))
+        head.append(struct.pack("<IIII", size, len(w) // 4, zlib.crc32(table[k, :size].astype("<u4").tobytes()), zlib.crc32(w)))
     front = b"".join(head)
     return b"".join([front, struct.pack("<I", zlib.crc32(front)), *words])
 
@@ -246,9 +241,9 @@ def decode(data: bytes) -> np.ndarray:
     if not blocks:
         return np.zeros(0, np.uint32)
     bounds = np.cumsum(np.r_[0, table[:, 1].astype(np.int64)])
-    if len(data) != at + 4 + 2 * int(bounds[-1]):
+    if len(data) != at + 4 + 4 * int(bounds[-1]):
         raise ValueError("code words are missing")
-    stream = np.frombuffer(data, "<u2", int(bounds[-1]), at + 4)
+    stream = np.frombuffer(data, "<u4", int(bounds[-1]), at + 4)
     for k, crc in enumerate(table[:, 3]):
         if zlib.crc32(stream[bounds[k] : bounds[k + 1]].tobytes()) != crc:
             raise ValueError(f"checksum of the words of block {k} fails")
