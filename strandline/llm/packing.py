@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,9 @@ from strandline.llm.tokens import encoder
 
 CAPACITY = 2048
 END = 0
-# Fillings tried around one longest piece, and steps of the search in all.
-BRANCHES, NODES = 4, 20_000
+# Steps of a search in all: fillings taken up, branches without one, and ways back; fillings tried around
+# one longest piece by the search for an incumbent.
+NODES, BRANCHES = 20_000, 4
 
 
 # ---- packing a histogram ----
@@ -77,8 +80,71 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[tuple,
     return [(p, n) for patterns in opened.values() for p, n in patterns.items()]
 
 
-def fillings(counts: np.ndarray, room: int) -> list[tuple]:
-    """Undominated fillings of ``room``, least waste first, ``BRANCHES`` of them at most.
+def _near(free: int, slack: int) -> int:
+    """Bit v is set where ``free`` has a bit from v to v + slack."""
+    done = 0
+    while done < slack:
+        step = min(done + 1, slack - done)
+        free |= free >> step
+        done += step
+    return free
+
+
+def fillings(counts: np.ndarray, room: int, spare: int):
+    """All undominated fillings of ``room`` that leave ``spare`` or less of it empty, least waste first, made one by one.
+
+    A filling is dominated where some of its pieces (or none) can give way to one longer piece that is left and still
+    fits: whatever they are needed for, that piece's place elsewhere takes them. Such a piece is longer than any that
+    follow, so a beginning that is dominated ends its whole branch. None stands for a branch without a filling.
+    """
+    sizes = [int(x) for x in np.flatnonzero(counts[: room + 1]) if x]
+    reach = [1]  # bit t of reach[k]: some pieces of the k smallest lengths are t long together
+    for size in sizes:
+        sums, left, step = reach[-1], min(int(counts[size]), room // size), 1
+        while left:
+            step = min(step, left)
+            sums |= sums << size * step
+            left -= step
+            step *= 2
+        reach.append(sums & (1 << room + 1) - 1)
+    everything = sum(1 << x for x in sizes)
+    for total in range(room, room - min(spare, room) - 1, -1):
+        if not reach[-1] >> total & 1:
+            continue
+        slack = room - total
+        chosen: list[int] = []
+        # Index to go on from, length to fill, sums of some chosen pieces, lengths left over, sums that one of these replaces, copies of the last, went on.
+        levels = [[len(sizes) - 1, total, 1, everything, _near(everything, slack), 0, False]]
+        while levels:
+            at, rest, sums, free, near, copies, went_on = levels[-1]
+            k = min(at, bisect_right(sizes, rest) - 1)
+            while rest and k >= 0:
+                size = sizes[k]
+                again = copies + 1 if chosen and chosen[-1] == size else 1
+                if again <= counts[size] and reach[k + 1] >> rest - size & 1:
+                    alone = free >> size + 1 & (1 << slack) - 1
+                    if not alone and not ((sums << size) ^ (1 << size)) & near:
+                        break
+                k -= 1
+            if rest and k >= 0:
+                levels[-1][0], levels[-1][-1] = k - 1, True
+                chosen.append(size)
+                if again == counts[size]:
+                    free &= ~(1 << size)
+                    near = _near(free, slack)
+                levels.append([k, rest - size, sums | sums << size, free, near, again, False])
+                continue
+            if not rest and not free & (1 << slack + 1) - 1:
+                yield tuple(chosen)
+            elif not went_on:
+                yield None
+            levels.pop()
+            if chosen:
+                chosen.pop()
+
+
+def likely_fillings(counts: np.ndarray, room: int) -> list[tuple]:
+    """Some fillings of ``room`` with few pieces, least waste first, ``BRANCHES`` of them: for the incumbent of the complete search.
 
     A piece dominates any pieces that fit into its place, so one piece is tried first (the longest that fits), then
     pairs and triples of more than that; only where the longest left is much shorter than the room do copies of it come
@@ -128,44 +194,64 @@ def fillings(counts: np.ndarray, room: int) -> list[tuple]:
     return out
 
 
-def _branches(left: np.ndarray, capacity: int):
-    """Sequences around the longest piece left, fullest first."""
+def _likely(left: np.ndarray, capacity: int, spare: int):
+    """As ``_branches``, but only likely sequences, each as often as it fits."""
     longest = int(np.flatnonzero(left)[-1])
-    rest = left.copy()
-    rest[longest] -= 1
-    for filling in fillings(rest, capacity - longest):
-        yield (longest, *filling)
+    others = left.copy()
+    others[longest] -= 1
+    for filling in likely_fillings(others, capacity - longest):
+        pattern = (longest, *filling)
+        lengths, need = np.unique(pattern, return_counts=True)
+        yield pattern, int((left[lengths] // need).min())
 
 
-def bin_completion(counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
-    """Packs the histogram: depth-first over fillings around the longest piece left, as often as they fit at once.
+def _branches(left: np.ndarray, capacity: int, spare: int):
+    """(sequence around the longest piece left, how many of it): fullest first, as many as fit at once and then fewer."""
+    longest = int(np.flatnonzero(left)[-1])
+    others = left.copy()
+    others[longest] -= 1
+    for filling in fillings(others, capacity - longest, spare):
+        if filling is None:
+            yield None
+            continue
+        pattern = (longest, *filling)
+        lengths, need = np.unique(pattern, return_counts=True)
+        waste = capacity - sum(pattern)
+        most = int((left[lengths] // need).min())
+        for times in range(min(most, spare // waste) if waste else most, 0, -1):
+            yield pattern, times
 
-    The best-fit packing is the first incumbent. With an incumbent of u sequences, u - 1 of them can waste no more
-    than (u - 1) * capacity - (all pieces); a branch that wastes more is cut. The search ends at the lower bound, when all
-    is explored, or after ``NODES`` steps, keeping the incumbent.
-    """
-    counts = counts.astype(np.int64)
-    best = best_fit_decreasing(counts, capacity)
+
+def _search(counts: np.ndarray, capacity: int, best: list, bound: int, branches_of) -> list[tuple[tuple, int]]:
+    """Depth-first over ``branches_of`` what is left; returns a packing in fewer sequences than ``best`` or ``best``."""
     used = sum(n for _, n in best)
-    bound = lower_bound(counts, capacity)
     mass = int((counts * np.arange(len(counts))).sum())
-    levels = [(counts, 0, 0, None, _branches(counts, capacity))] if used > bound else []
+    seen: dict[bytes, int] = {}
+
+    def spare(waste: int) -> int:
+        return (used - 1) * capacity - mass - waste
+
+    levels = [(counts, 0, 0, None, branches_of(counts, capacity, spare(0)))] if used > bound else []
     for _ in range(NODES):
         if not levels:
             break
         left, bins, waste, chain, branches = levels[-1]
-        pattern = next(branches, None)
-        if pattern is None:
+        branch = next(branches, ())
+        if branch is None:
+            continue
+        if not branch:
             levels.pop()
             continue
+        pattern, times = branch
         lengths, need = np.unique(pattern, return_counts=True)
-        times = int((left[lengths] // need).min())
         after = left.copy()
         after[lengths] -= times * need
         bins, waste, chain = bins + times, waste + times * (capacity - sum(pattern)), ((pattern, times), chain)
         if after.any():
-            if waste <= (used - 1) * capacity - mass:
-                levels.append((after, bins, waste, chain, _branches(after, capacity)))
+            state = hashlib.blake2b(after.tobytes(), digest_size=16).digest()
+            if spare(waste) >= 0 and bins < seen.get(state, bins + 1):
+                seen[state] = bins
+                levels.append((after, bins, waste, chain, branches_of(after, capacity, spare(waste))))
         elif bins < used:
             used, best, node = bins, [], chain
             while node:
@@ -176,6 +262,22 @@ def bin_completion(counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]
     return best
 
 
+def bin_completion(counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
+    """Packs the histogram: depth-first over the undominated fillings around the longest piece left, each as often as it
+    fits at once and then fewer times.
+
+    The first incumbent is the best-fit packing, bettered by a search of ``NODES`` steps over likely fillings. With an
+    incumbent of u sequences, u - 1 of them can waste no more than (u - 1) * capacity - (all pieces); a branch that wastes
+    more is cut, and one that leaves the pieces that an earlier one left after as few sequences. The search ends at the
+    lower bound, when all is explored (the packing is then a best one), or after ``NODES`` steps, keeping the incumbent.
+    """
+    counts = counts.astype(np.int64)
+    best, bound = best_fit_decreasing(counts, capacity), lower_bound(counts, capacity)
+    for branches_of in (_likely, _branches):
+        best = _search(counts, capacity, best, bound, branches_of)
+    return best
+
+
 def _places(patterns: list[tuple[tuple, int]]):
     """Sorted arrays of runs: key = length << 40 | first rank of that length; sequence of that rank; offset there."""
     next_rank: dict[int, int] = {}

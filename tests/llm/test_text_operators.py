@@ -107,6 +107,37 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert used == optimum(sizes, 100)
 
 
+@pytest.mark.parametrize("sizes, capacity, optimum", [
+    # The best filling around the longest piece has four pieces more, all of one length.
+    ([1048] + [300] * 6 + [250] * 4 + [248], 2048, 2),
+    # With each sequence as often as it fits nine are needed.
+    ([22] * 6 + [15] * 7 + [9] * 8, 41, 8),
+])
+def test_bin_completion_tries_every_filling_and_repeat(sizes, capacity, optimum):
+    assert sum(n for _, n in packing.bin_completion(np.bincount(sizes, minlength=capacity + 1), capacity)) == optimum
+
+
+def test_fillings_are_the_undominated_ones():
+    draw = random.Random(5)
+    for _ in range(150):
+        room, spare = draw.randint(1, 40), draw.randint(0, 12)
+        counts = np.bincount(draw.choices(range(1, 16), k=draw.randint(1, 9)), minlength=room + 16)
+        every = {()}
+        for size in range(len(counts) - 1, 0, -1):
+            every = {f + (size,) * n for f in every for n in range(counts[size] + 1) if sum(f) + size * n <= room}
+
+        def parts_fit(pieces, places):
+            """Whether pieces find room in places, each piece in one of them."""
+            return not pieces or any(
+                pieces[0] <= p and parts_fit(pieces[1:], places[:k] + (p - pieces[0],) + places[k + 1 :]) for k, p in enumerate(places)
+            )
+
+        want = {f for f in every if not any(f != g and parts_fit(f, g) for g in every)}
+        got = [f for f in packing.fillings(counts, room, spare) if f is not None]
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+        assert sorted(got) == sorted(f for f in want if room - sum(f) <= spare)
+
+
 # ---- tokens and 10 token files ----
 
 
