@@ -369,6 +369,40 @@ def test_licence_rules():
         assert names(nothing) == []
 
 
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program{0} if not, see <https://www.gnu.org/licenses/>."""
+
+
+@pytest.mark.parametrize("text, want", [
+    (GPL.format(":", ",", 3), [("GPL-3.0-or-later", "gpl-3-notice")]), (GPL.format(";", ";", 2), [("GPL-2.0-or-later", "gpl-2-notice")]),
+    (GPL.format(";", ";", 2).split("\n\n")[0], [("GPL-2.0-or-later", "gpl-2-free")]), (GPL.format(":", ",", 3).split("\n\n")[0], [("GPL-3.0-or-later", "gpl-3-free")]),
+    ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed", [("MPL-2.0", "mpl-2-line")]),
+    ("// SPDX-License-Identifier: MIT", [("MIT", "spdx-line")]), ("# SPDX-License-Identifier: GPL-2.0+", [("GPL-2.0-or-later", "spdx-line")]),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0)", [("MIT", "spdx-line"), ("Apache-2.0", "spdx-line")]), ("SPDX-License-Identifier: GPL-2.0-or-later", [("GPL-2.0-or-later", "spdx-line")]),
+    ("Strandline is licensed under the BSD 3-Clause License.", [("BSD-3-Clause", "named-line")]), ("This project is licensed under the\nMIT License - see the LICENSE file for details.", [("MIT", "named-line")]),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", [("LGPL-2.1-or-later", "lgpl-2.1-library-or-later")]),
+    ("This project is not licensed under the MIT License.", []), ("This program is free software. You can leave.", []), ("SPDX-License-Identifier: Unheard-Of", []),
+])
+def test_licence_rules_match_real_notices(text, want):
+    assert [(m[0], m[1]) for m in licences.matches(text)] == want
+
+
+def test_every_licence_rule_can_match():
+    spelt = {i: s.replace(" |", ";") for s, i in licences._KNOWN.items()} | {f"spdx:{i}": f"SPDX-License-Identifier: {i}" for i in licences.NAMES}
+    for licence, rule, wanted in licences.RULES:
+        assert (licence, rule) in [(m[0], m[1]) for m in licences.matches(".\n".join(spelt[i] for i in wanted))], rule
+
+
 def test_licence_scan_finds_the_planted_lines(spark, awkward, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = {
