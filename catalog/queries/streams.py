@@ -67,8 +67,10 @@ def _(t):
     select user_id, event_type, us accepted_us from acc""",
 )
 def _(t):
-    rows = wn.readmit_after(stream(t, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts")
-    return cs.to_table(rows, "dedup").select("user_id", "event_type", F.unix_micros("ts").alias("accepted_us"))
+    log, rows = ChangeLog(t.spark, run_folder(t.spark, "dedup")), stream(t, "events")
+    handler, schema = wn.readmit_batches(rows, ["user_id", "event_type"], "ts", log)
+    cs.run(cs.start(rows, handler))
+    return log.read(schema).select("user_id", "event_type", F.col("us").alias("accepted_us"))
 
 
 @query(

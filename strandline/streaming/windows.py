@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from strandline.session import cut_lineage
+from strandline.sources.tables import ChangeLog
+
 
 def with_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
     """Cast the event time (files often carry it without a zone) and set its watermark."""
@@ -54,6 +59,53 @@ def readmit_after(stream: DataFrame, keys: list[str], ts: str, horizon_s: int =
     return accepted.select(*keys, F.timestamp_micros("__us").alias(ts))
 
 
+def next_admitted(rows: DataFrame, last: DataFrame, keys: list[str], ts: str, horizon_s: int = 86_400) -> DataFrame:
+    """(keys, us) of the rows of one batch that ``readmit_after`` accepts, after ``last`` (keys, us) of earlier batches.
+
+    No group is gathered: distinct times are dealt out by key and slice of ``horizon_s``, and all keys step together from
+    their last accepted time to the first one ``horizon_s`` or later, in its slice or the first time of a later slice. A
+    slice holds one accepted time of a key at most, so there are as many steps as slices in the batch, and one. Rows without time are left out.
+    """
+    horizon = horizon_s * 1_000_000
+    slice_of = F.expr(f"cast(floor(us / {horizon}) as bigint)")
+    times = cut_lineage(rows.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).where("us is not null").distinct().withColumn("slice", slice_of))
+    slices = cut_lineage(times.groupBy(*keys, "slice").agg(F.min("us").alias("us")))
+
+    def same(a, b):
+        out = F.lit(True)
+        for key in keys:
+            out = out & F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}"))
+        return out
+
+    def after(found):
+        return found.select(*keys, (F.col("us") + horizon).alias("us")).withColumn("slice", slice_of).alias("l")
+
+    news = slices.groupBy(*keys).agg(F.min("us").alias("us")).alias("t")
+    accepted = [cut_lineage(news.join(last.alias("l"), same("t", "l"), "left_anti"))]
+    at = cut_lineage(accepted[0].unionByName(last.alias("l").join(news, same("l", "t"), "left_semi").select(*keys, "us")))
+    while True:
+        inside = times.alias("t").join(after(at), same("t", "l") & F.expr("t.slice = l.slice and t.us >= l.us"))
+        later = slices.alias("t").join(after(at), same("t", "l") & F.expr("t.slice > l.slice"))
+        at = cut_lineage(inside.select("t.*").unionByName(later.select("t.*")).groupBy(*keys).agg(F.min("us").alias("us")))
+        if at.isEmpty():
+            return reduce(DataFrame.unionByName, accepted)
+        accepted.append(at)
+
+
+def readmit_batches(stream: DataFrame, keys: list[str], ts: str, log: ChangeLog, horizon_s: int = 86_400):
+    """``readmit_after`` for hot keys, as (handler for ``foreachBatch``, schema): accepted (keys, us) are a table in ``log``.
+
+    A replayed batch starts from the batches before it and writes the same rows again.
+    """
+    schema = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys) + ", us bigint"
+
+    def each(batch, number):
+        before = log.read(schema).where(F.col("batch") < number).groupBy(*keys).agg(F.max("us").alias("us"))
+        log.append(next_admitted(batch, before, keys, ts, horizon_s), number)
+
+    return each, schema
+
+
 def correlate(parsed: DataFrame, embedded: DataFrame, keys: list[str], delay: str = "1 hour", within: str = "1 hour") -> DataFrame:
     """Inner join of two streams on ``keys`` within a time bound, whichever side comes first.
 

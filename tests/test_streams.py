@@ -110,3 +110,20 @@ def test_work_is_readmitted_after_a_day_however_batches_are_cut(spark):
         stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
         rows = cs.to_table(wn.readmit_after(stream, ["key"], "ts"), "admitted").collect()
         assert sorted(int(r.ts.timestamp()) // 3600 for r in rows) == want
+
+
+def test_work_is_readmitted_without_gathering_a_key(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.streaming import windows as wn
+
+    cuts = [[0, 0, 1, 23], [24, 30, 47, 48, 49], [2, 100, 123, 124]]
+    log, none = ChangeLog(spark, run_folder(spark, "admitted")), spark.createDataFrame([], "key string, ts timestamp")
+    handler, schema = wn.readmit_batches(none, ["key"], "ts", log)
+    for number in (0, 1, 2, 1):
+        rows = spark.createDataFrame([(k, h * 3600) for k in ("k", None) for h in cuts[number]], "key string, s bigint").select("key", F.timestamp_seconds("s").alias("ts"))
+        plan = wn.next_admitted(rows, log.read(schema).select("key", "us"), ["key"], "ts")._jdf.queryExecution().toString()
+        assert "Pandas" not in plan
+        handler(rows, number)
+    got = sorted((str(r.key), r.us // 3_600_000_000) for r in log.read(schema).collect())
+    assert got == [(k, h) for k in ("None", "k") for h in (0, 24, 48, 100, 124)]
