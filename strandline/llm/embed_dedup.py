@@ -147,9 +147,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     key = [F.when(valid, F.xxhash64(F.lit(k), "label", "embedding")).alias(f"h{k}") for k in (1, 2)]
     keyed = stored(rows.select("vec_id", "label", "embedding", *key), "vectors")
     classes = keyed.where("h1 is not null").groupBy("h1", "h2").agg(
-        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding")
+        F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding")
     )
-    classes = stored(classes.withColumn("dim", F.size("embedding")), "classes")
+    # A class has a number of its own: one vec_id may stand on rows of several classes, and of several labels.
+    classes = stored(classes.withColumn("dim", F.size("embedding")).withColumn("id", F.monotonically_increasing_id()), "classes")
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-6) + 1e-9
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields) + ", x int, y int"
     placed = stored(classes.mapInArrow(_with_cells(_directions(classes), width), schema), "cells")
@@ -173,9 +174,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = stored(dealt.mapInArrow(_products(threshold), "id long, links long, root long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
-    named = placed.select("h1", "h2", "id", "weight").join(links, "id", "left").join(roots, "id", "left").select(
-        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")
-    )
+    rooted = placed.select("h1", "h2", "id", "vec_id", "weight").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    named = rooted.join(smallest, "root").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     joined = keyed.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

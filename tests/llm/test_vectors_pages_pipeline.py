@@ -49,6 +49,14 @@ def brute_vectors(rows, threshold):
     return out | {good[k][0]: (len(near[k]), reach[k], reach[k] == good[k][0]) for k in near}
 
 
+def test_repeated_vector_ids(spark):
+    """One vec_id on rows of two labels: each row has its own links and component."""
+    rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 0, [1.0, 0.01]), (3, 1, [0.01, 1.0]), (0, 1, [0.02, 1.0]), (1, 0, [1.0, 0.0])]
+    found = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found.collect())
+    assert got == [(0, 2, 0, True), (1, 2, 0, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 0, False)]
+
+
 @pytest.mark.parametrize("tile", [512, 16])
 def test_embedding_groups(spark, monkeypatch, tile):
     monkeypatch.setattr(embed_dedup, "TILE", tile)
