@@ -95,13 +95,13 @@ def _(t):
     return request_defaults(asked)
 
 
-@query("ud2_event_hooks", "select 'rows' part, count(*) n from orders where o_orderkey % 10 not in (7, 8, 9) union all select 'batches', 1")
+@query("ud2_event_hooks", "select 'rows' part, count(*) n from orders where o_orderkey % 10 not in (7, 8, 9) union all select 'batches', count(distinct o_orderkey % 4) from orders")
 def _(t):
-    handled, hooks = ChangeLog(t.spark, run_folder(t.spark, "handled")), []
+    handled, hooks = (ChangeLog(t.spark, run_folder(t.spark, label)) for label in ("handled", "hooks"))
     messages = over(t, "messages", "orders", stream(t, "orders"))
-    cs.run(cs.consume(messages, "raw_trace", lambda good, n: handled.append(good.select("commit_sha"), n), run_folder(t.spark, "dead"), post_batch=hooks.append))
+    cs.run(cs.consume(messages, "raw_trace", lambda good, n: handled.append(good.select("commit_sha"), n), run_folder(t.spark, "dead"), post_batch=lambda n: hooks.append(t.spark.range(1).select(F.lit(n).cast("bigint").alias("batch")), n)))
     rows = handled.read("commit_sha string").agg(F.lit("rows").alias("part"), F.count("*").alias("n"))
-    return rows.unionAll(t.spark.createDataFrame([("batches", len(hooks))], "part string, n bigint"))
+    return rows.unionAll(hooks.read("batch bigint").agg(F.lit("batches").alias("part"), F.countDistinct("batch").alias("n")))
 
 
 @query(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,12 +22,35 @@ RUNTIME_OPTIONS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime options to an existing session."""
+    """Apply the runtime options to an existing session and give its workers the package."""
     for key, value in RUNTIME_OPTIONS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+# By application: whether its workers have the package, and its folder where none is configured.
+_SHIPPED: set[str] = set()
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, wherever the driver was started from.
+
+    Spark's own file service carries the archive, as with ``--py-files``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strandline-")) / "strandline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def build(app: str, cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and benchmarks; clusters bring their own."""
     builder = (
@@ -50,8 +75,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        configured = tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="strandline-"))
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(configured)
     return configured.rstrip("/")
