@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import embed_dedup, html_extract, langid, licences, line_dedup, mixing, packing, quality, simhash, token_files
+from strandline.llm import embed_dedup, html_extract, langid, licences, line_dedup, mixing, packing, quality, resample, simhash, token_files
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,53 @@ def op9_line_dedup(documents):
 @query("op10_token_files", "documents")
 def op10_token_files(documents):
     return token_files.write_and_read(documents, vocabulary("byte_bpe_50k.json"))
+
+
+# CRC-32 of a string in SQL: its UTF-8 bytes in turn, by the table of the polynomial (joined in as ``crc_table``).
+_CRC_TABLE = """crc_table as (
+  select list(c order by i) t from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end)) c
+  from (select unnest(range(256)) i)))"""
+
+
+def _crc(text: str) -> str:
+    byte = f"(strpos('0123456789ABCDEF', substr(hex(encode({text})), 2 * k + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(encode({text})), 2 * k + 2, 1)) - 1"
+    each = f"list_transform(range(octet_length(encode({text}))), lambda k: cast({byte} as bigint))"
+    steps = f"list_reduce(list_prepend(cast(4294967295 as bigint), {each}), lambda c, b: xor(c >> 8, crc_table.t[xor(c & 255, b) + 1]))"
+    return f"xor({steps}, 4294967295)"
+
+
+@query(
+    "op12_importance_resampling",
+    "documents",
+    "benchmark",
+    oracle=rf"""
+with {_CRC_TABLE}, texts as (
+  select 'd' kind, row_number() over () id, doc_id, text from documents union all select 'b', row_number() over (), null, text from benchmark
+), split as (
+  select kind, id, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from texts
+), features as (
+  select kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) f from split
+), distinct_features as (
+  select f, {_crc("f")} % 10000 bucket from (select distinct f from features), crc_table
+), bucketed as (select kind, id, bucket from features join distinct_features using (f)
+), counts as (
+  select bucket, cast(count(*) filter (kind = 'd') as double) s, cast(count(*) filter (kind = 'b') as double) t from bucketed group by bucket
+), gains as (
+  select bucket, cast(floor(1000 * ln(((t + 1) * (sum(s) over () + 10000)) / ((s + 1) * (sum(t) over () + 10000)))) as bigint) gain from counts
+), weighed as (
+  select id, count(*) n_features, cast(sum(gain) as bigint) summed from bucketed join gains using (bucket) where kind = 'd' group by id
+), scored as (
+  select doc_id, coalesce(n_features, 0) n_features, len(w) n_words,
+    cast(coalesce((summed - ((summed % n_features) + n_features) % n_features) // n_features, 0) as bigint) weight,
+    cast(('0x' || substr(sha256('7:' || doc_id), 1, 8)) as bigint) h
+  from split left join weighed using (id) where kind = 'd'
+), full_scores as (
+  select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0))) as bigint) score from scored
+), ranked as (
+  select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) r, 25 * count(*) filter (n_words >= 20) over () // 100 n_drawn from full_scores
+)
+select doc_id, n_features, weight, score, case when n_words >= 20 and r <= n_drawn then r end "rank" from ranked
+""",
+)
+def op12_importance_resampling(documents, benchmark):
+    return resample.resample(documents, benchmark, percent=25, min_words=20, seed=7)
