@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import embed_dedup, html_extract, langid, licences, line_dedup, mixing, packing, quality, resample, simhash, token_files
+from strandline.llm import chat, embed_dedup, html_extract, langid, licences, line_dedup, mixing, packing, quality, resample, simhash, token_files
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,31 @@ select doc_id, n_features, weight, score, case when n_words >= 20 and r <= n_dra
 )
 def op12_importance_resampling(documents, benchmark):
     return resample.resample(documents, benchmark, percent=25, min_words=20, seed=7)
+
+
+def _escaped(text: str) -> str:
+    return f"regexp_replace({text}, '([<\\[])(\\\\*)(/INST\\]|/s>|INST\\]|s>|\\|endoftext\\|>)', '\\1\\\\\\2\\3', 'g')"
+
+
+@query(
+    "op13_chat_format",
+    "conversations",
+    oracle=rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), joined as (
+  select conv_id, count(*) n_turns, string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first) whole,
+    coalesce(string_agg(case when r = 'assistant' then x end, '' order by turn nulls first), '') loss,
+    sum(length('<s>[INST]' || {_escaped("r")} || '[/INST]' || {_escaped("x")} || '</s>')) formatted
+  from turns group by conv_id
+)
+select conv_id, n_turns, sha256(whole) turns_sha256, cast(length(loss) as bigint) loss_chars, sha256(loss) loss_sha256, cast(formatted as bigint) formatted_chars
+from joined
+""",
+)
+def op13_chat_format(conversations):
+    rows = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+    own = conversations.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"]
+    return chat.format_and_read(conversations.select(*columns).unionByName(own), vocabulary("byte_bpe_50k.json"))
