@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, embed_dedup, html_extract, langid, licences, line_dedup, mixing, packing, quality, resample, simhash, token_files
+from strandline.llm import chat, embed_dedup, html_extract, langid, licences, line_dedup, mixing, packing, prefix_trie, quality, resample, simhash, token_files
 from strandline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,34 @@ def op13_chat_format(conversations):
     own = conversations.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"]
     return chat.format_and_read(conversations.select(*columns).unionByName(own), vocabulary("byte_bpe_50k.json"))
+
+
+@query(
+    "op11_prefix_trie",
+    "conversations",
+    oracle=rf"""
+with {_CRC_TABLE}, own as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first) - 1 p, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) x,
+    length(coalesce(text, '')) l from conversations where conv_id is not null
+), cut as (
+  select conv_id, conv_id - conv_id % 100 family, {_crc("cast(conv_id as varchar)")} % 6 h from (select distinct conv_id from own), crc_table
+), turns as (
+  select c.conv_id, 0 seg, p, x, l from cut c join own o on o.conv_id = c.family and p < h union all select conv_id, 1, p, x, l from cut join own using (conv_id) where p >= h
+), sequences as (
+  select c.conv_id, coalesce(list(x order by seg, p) filter (x is not null), []) s, list(l order by seg, p) ls from cut c left join turns using (conv_id) group by c.conv_id
+), places as (
+  select conv_id, d, len(s) n, md5(array_to_string(s[:d], '')) k, case when d > 0 then md5(array_to_string(s[:d - 1], '')) end up, case when d > 0 then ls[d] else 0 end l
+  from (select *, unnest(range(len(s) + 1)) d from sequences)
+), nodes as (
+  select k, d, any_value(up) up, any_value(l) l, min(conv_id) conv_id, count(*) n_convs,
+    sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (d = n), '')) ends_sha256 from places group by k, d
+), children as (select up k, count(*) c from nodes where d > 0 group by up), sums as (
+  select a.k, count(*) filter (c.c is null) leaves, sum((n.n_convs - 1) * n.l) saved
+  from nodes n left join children c using (k) join places a on a.conv_id = n.conv_id and a.d <= n.d group by a.k
+)
+select n.conv_id, n.d depth, u.conv_id parent_conv_id, n.n_convs, coalesce(c.c, 0) n_children, leaves n_leaves, cast(saved as bigint) saved_tokens, n.ends_sha256
+from nodes n left join children c using (k) join sums s on s.k = n.k left join nodes u on u.k = n.up
+""",
+)
+def op11_prefix_trie(conversations):
+    return prefix_trie.prefix_trie(conversations)
