@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import shuffle_partitions, stored
+from strandline.llm.common import shuffle_partitions, slices, stored
 from strandline.llm.tokens import encoder
 
 # The control strings of the marks, in the order of their ids.
@@ -131,16 +131,6 @@ def assemble(roles: pa.Array, texts: pa.Array, coder: Codec):
     return ids, np.cumsum(change[:-1], dtype=np.int8), bounds
 
 
-def _slices(batch, sizes: pa.Array):
-    """Slices of a batch whose rows sum up to ``TAKEN`` or are a single one."""
-    sizes = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TAKEN, side="right")))
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 def _runs(column: pa.Array) -> np.ndarray:
     """Bounds of runs of equal values, nulls being equal."""
     values, gone = pc.fill_null(column, 0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
@@ -152,7 +142,7 @@ def _format(file: str):
     def run(batches):
         part, piece = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in _slices(batch, pc.binary_length(batch.column("text"))):
+            for rows in slices(batch, pc.binary_length(batch.column("text")), TAKEN):
                 ids, mask, bounds = assemble(rows.column("role"), rows.column("text"), codec(file))
                 runs = _runs(rows.column("conv_id"))
                 n, offsets = len(runs) - 1, pa.array(bounds[runs], pa.int32())
@@ -255,7 +245,7 @@ def _digests(rows, coder: Codec):
 def _read(file: str):
     def run(batches):
         for batch in batches:
-            for rows in _slices(batch, batch.column("input_ids").value_lengths()):
+            for rows in slices(batch, batch.column("input_ids").value_lengths(), TAKEN):
                 yield _digests(rows, codec(file))
 
     return run

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +38,17 @@ def ascii_lower(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """Tells rows of equal doc_id and different texts apart; rows equal in both are interchangeable."""
     return F.xxhash64(F.lit("text"), F.coalesce(text, F.lit("")), text.isNull())
+
+
+def slices(batch: pa.RecordBatch, sizes: pa.Array, taken: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose rows' ``sizes`` (null: 0) sum up to ``taken`` or that are a single row.
+
+    Parts are copied: string kernels such as ``ascii_lower`` go wrong on a slice that shares its batch's buffers.
+    """
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + taken, side="right")))
+        part = batch.slice(at, upto - at)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], schema=part.schema)
+        at = upto

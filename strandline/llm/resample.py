@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored, text_key
+from strandline.llm.common import slices, stored, text_key
 from strandline.llm.prefix import running_total
 
 # Fixed values of the feature rule.
@@ -97,13 +97,7 @@ def features(texts: pa.Array, words: int = WORDS, buckets: int = BUCKETS):
 
 
 def _parts(batch, column: str):
-    """Slices of a batch whose texts have ``TAKEN`` characters or are a single one."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
-    at = 0
-    while at < len(sizes):
-        upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), TAKEN, side="right")))
-        yield batch.slice(at, upto - at)
-        at = upto
+    return slices(batch, pc.binary_length(batch.column(column)), TAKEN)
 
 
 def bucket_counts(texts: DataFrame, column: str = "text", words: int = WORDS, buckets: int = BUCKETS) -> DataFrame:

@@ -8,10 +8,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import chat, prefix_trie, resample
+from strandline.llm.common import slices
 from strandline.llm.queries import vocabulary
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
@@ -216,6 +218,21 @@ def test_features(words):
         assert sorted(found[owners == k].tolist()) == sorted(buckets_of(text, words))
 
 
+def test_slices():
+    """Parts of a batch, large or small, give the features of their rows."""
+    draw = random.Random(4)
+    texts = [None if k % 7 == 0 else " ".join(draw.choice(["é", "B", "日本", "x9", "-"]) for _ in range(draw.choice([0, 1, 50]))) for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for taken in (1, 40, 1000, 10**6):
+        at = 0
+        for part in slices(batch, pc.binary_length(batch.column(0)), taken):
+            found, owners = resample.features(part.column("text"))
+            for k in range(part.num_rows):
+                assert sorted(found[owners == k].tolist()) == sorted(buckets_of(texts[at + k]))
+            at += part.num_rows
+        assert at == len(texts)
+
+
 def test_resample(spark, awkward, no_docs):
     draw = random.Random(1)
     extra = [(1000 + k, " ".join(draw.choice(["alpha", "beta", "Gamma", "é", "9"]) for _ in range(draw.choice([5, 19, 20, 40]))), "en", "s", 1) for k in range(120)]
