@@ -8,6 +8,8 @@ from catalog.registry import query
 from catalog.views import VIEWS
 from strandline.functions import text
 from strandline.operators import search as sr
+from strandline.operators.text_index import TextIndex, apply_change
+from strandline.session import run_folder
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 # Benchmark items ask; the vector and the symbol of the same number belong to the question.
@@ -64,6 +66,23 @@ bm as (select q.query_id, p.doc_id id, round(sum(qtf * ln(1 + (n_docs - df + 0.5
 ft as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from bm) where rank <= 16)"""
 
 
+# By application and data folder: the index of the whole documents table, built when it is first asked.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def text_index(t) -> TextIndex:
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _INDEXES:
+        folder = run_folder(t.spark, "text-index")
+        TextIndex(t.spark, folder).write_segment(0, t.docs)
+        _INDEXES[key] = folder
+    return TextIndex(t.spark, _INDEXES[key])
+
+
+def fulltext(t, k: int):
+    return text_index(t).topk(sr.query_terms(questions(t)), k)
+
+
 @query("ag21_corpus_stats", f"with {INDEX} select n_docs, round(avgdl, 6) avgdl from corpus")
 def _(t):
     return sr.corpus_stats(t.docs).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
@@ -75,11 +94,55 @@ def _(t):
 
 
 @query("tk2_fulltext_topk", f"with {BM25} select query_id, id, round(score, 6) score, cast(rank as integer) rank from ft")
+def _(t):
+    return fulltext(t, 16).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("tk2_fulltext_unstored", f"with {BM25} select query_id, id, round(score, 6) score, cast(rank as integer) rank from ft")
 def _(t):
     out = sr.fulltext_topk(t.docs, questions(t), 16)
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+# A batch of changes: some documents gain words and may turn active, some are deleted, some are new.
+VIEWS["doc_upserts"] = """
+select doc_id, repo, text||' d'||cast(doc_id + 1 as string)||' '||repo||' changed' text, not active or doc_id % 2 = 0 active from {docs} where doc_id % 5 = 0
+union all select doc_id + 100000000, repo, 'new d'||cast(doc_id as string)||' '||text, true from {docs} where doc_id % 6 = 1
+"""
+VIEWS["docs_changed"] = """
+select doc_id, repo, text, active from {docs} where doc_id % 5 <> 0 and doc_id % 7 <> 3
+union all select doc_id, repo, text, active from {doc_upserts} where doc_id % 7 <> 3 or doc_id >= 100000000
+"""
+
+
+def changed_index(t) -> TextIndex:
+    """A build, then one batch of upserts and deletions, the latter written twice as after a retry."""
+    index = TextIndex(t.spark, run_folder(t.spark, "text-index"))
+    index.write_segment(0, t.docs)
+    for _ in range(2):
+        apply_change(index, 1, t.docs, t.doc_upserts, t.docs.where("doc_id % 7 = 3"))
+    return index
+
+
+CHANGED = BM25.replace("{docs}", "{docs_changed}")
+
+
+@query("tk2_fulltext_after_changes", f"with {CHANGED} select query_id, id, round(score, 6) score, cast(rank as integer) rank from ft")
+def _(t):
+    out = changed_index(t).topk(sr.query_terms(questions(t)), 16)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    "ag21_statistics_after_changes",
+    f"with {INDEX.replace('{docs}', '{docs_changed}')} select term, count(*) df, any_value(n_docs) n_docs, any_value(round(avgdl, 6)) avgdl from post, corpus group by term",
+)
+def _(t):
+    index = changed_index(t)
+    known = index.statistics()
+    return index.document_frequencies().select("term", "df", F.lit(known.n_docs).cast("bigint").alias("n_docs"), F.round(F.lit(known.avgdl), 6).alias("avgdl"))
+
+
 DIRECT = """direct as (select distinct q.query_id, d.doc_id id from {q_base} q join {docs} d on d.repo = q.repo and d.active
   and (d.name in ('d'||query_id, 'q'||query_id) or d.qualified_name in ('d'||query_id, 'q'||query_id)))"""
 GRAPH = f"""{BM25}, {DIRECT}, tiers as (select query_id, id, 0 tier, 0.0 neg from direct union all select query_id, id, 1, -score from ft),
@@ -90,7 +153,7 @@ glist as (select query_id, id, tn[1] tier, row_number() over (partition by query
 @query("wn9_graph_list_rank", f"with {GRAPH} select query_id, id, tier, cast(rank as integer) rank from glist")
 def _(t):
     nodes = t.docs.withColumnRenamed("doc_id", "id")
-    return sr.graph_list(sr.symbol_matches(nodes, questions(t)), sr.fulltext_topk(t.docs, questions(t), 16))
+    return sr.graph_list(sr.symbol_matches(nodes, questions(t)), fulltext(t, 16))
 
 
 @query(
@@ -127,7 +190,7 @@ def _lists(t):
     q = questions(t)
     near = sr.vector_topk(q.filter("embedding is not null"), t.doc_vec, 16)
     nodes = t.docs.withColumnRenamed("doc_id", "id")
-    return sr.ranked_lists((near, "vector"), (sr.graph_list(sr.symbol_matches(nodes, q), sr.fulltext_topk(t.docs, q, 16)), "graph"))
+    return sr.ranked_lists((near, "vector"), (sr.graph_list(sr.symbol_matches(nodes, q), fulltext(t, 16)), "graph"))
 
 
 @query("set4_ranked_lists", f"with {FUSED} select query_id, source, count(*) n, cast(max(rank) as integer) last from lists group by all")
@@ -142,7 +205,7 @@ def _(t):
 
 @query("hybrid_seeds", f"with {FUSED} select query_id, id, round(score, 9) score, retrieval_method, cast(rank as integer) rank from seeds")
 def _(t):
-    out = sr.hybrid_seeds(questions(t), t.doc_vec, t.docs)
+    out = sr.hybrid_seeds(questions(t), t.doc_vec, t.docs, index=text_index(t))
     return out.select("query_id", "id", F.round("score", 9).alias("score"), "retrieval_method", "rank")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import scan
 from strandline.functions.text import token_count, tokens
 from strandline.operators.metrics import top_rows
+from strandline.operators.text_index import TextIndex
 from strandline.session import cut_lineage
 
 # Fusion constant, BM25 parameters, defaults of a request.
@@ -194,14 +195,15 @@ def fuse(lists: DataFrame, max_seeds: int | None = MAX_SEEDS, k: int = RRF_K) ->
     return top_rows(fused, ["query_id"], [F.desc("score"), F.col("id")], max_seeds)
 
 
-def hybrid_seeds(queries: DataFrame, vectors: DataFrame, docs: DataFrame, max_seeds: int = MAX_SEEDS) -> DataFrame:
+def hybrid_seeds(queries: DataFrame, vectors: DataFrame, docs: DataFrame, max_seeds: int = MAX_SEEDS, index: TextIndex | None = None) -> DataFrame:
     """Seeds of every question: vector list and graph list, each twice as long as asked, fused.
 
     ``queries``: (query_id, repo, symbols, keywords, embedding); a question without words or
-    without a vector uses the other list alone.
+    without a vector uses the other list alone. With a stored ``index`` of ``docs`` texts are not read.
     """
     limit = max_seeds * OVERFETCH
     near = vector_topk(queries.filter(F.col("embedding").isNotNull()), vectors, limit)
     nodes = docs.select(F.col("doc_id").alias("id"), "repo", "name", "qualified_name", "active")
-    graph = graph_list(symbol_matches(nodes, queries), fulltext_topk(docs, queries, limit))
+    fulltext = fulltext_topk(docs, queries, limit) if index is None else index.topk(query_terms(queries), limit)
+    graph = graph_list(symbol_matches(nodes, queries), fulltext)
     return fuse(ranked_lists((near, "vector"), (graph, "graph")), max_seeds)
