@@ -90,3 +90,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def run_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: no lineage, like a checkpoint, and of known size for joins with it."""
+    folder = run_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
