@@ -9,6 +9,7 @@ from catalog.views import VIEWS
 from strandline.functions import text
 from strandline.operators import search as sr
 from strandline.operators.text_index import TextIndex, apply_change
+from strandline.operators.vector_index import VectorIndex
 from strandline.session import run_folder
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -70,6 +71,16 @@ ft as (select * from (select *, row_number() over (partition by query_id order b
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
+def vector_index(t) -> VectorIndex:
+    """The stored index of all vectors, kept like that of texts."""
+    key = (t.spark.sparkContext.applicationId, t.folder + " vectors")
+    if key not in _INDEXES:
+        folder = run_folder(t.spark, "vector-index")
+        VectorIndex(t.spark, folder).build(t.vec.withColumnRenamed("vec_id", "id"))
+        _INDEXES[key] = folder
+    return VectorIndex(t.spark, _INDEXES[key])
+
+
 def text_index(t) -> TextIndex:
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _INDEXES:
@@ -156,13 +167,39 @@ def _(t):
     return sr.graph_list(sr.symbol_matches(nodes, questions(t)), fulltext(t, 16))
 
 
+NEAREST = """with v as (select vec_id, repo, cast(embedding as double[]) e from {vec}), s as (select q.vec_id query_id, v.vec_id id, round(list_cosine_similarity(q.e, v.e), 9) score from v q join v on v.repo = q.repo)
+    select query_id, id, round(score, 6) score, cast(rank as integer) rank from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= 16"""
+
+
+@query("tk1_vector_topk", NEAREST)
+def _(t):
+    out = sr.vector_topk(t.vec.withColumnRenamed("vec_id", "query_id"), t.vec.withColumnRenamed("vec_id", "id"), 16)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("tk1_vector_topk_cells", NEAREST)
+def _(t):
+    out = vector_index(t).topk(t.vec.withColumnRenamed("vec_id", "query_id"), 16)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(
-    "tk1_vector_topk",
-    """with v as (select vec_id, repo, cast(embedding as double[]) e from {vec}), s as (select q.vec_id query_id, v.vec_id id, round(list_cosine_similarity(q.e, v.e), 9) score from v q join v on v.repo = q.repo)
+    "tk1_vector_topk_after_changes",
+    """with v as (select vec_id, repo, cast(embedding as double[]) e from {vec}),
+    c as (select vec_id id, repo, e from v where vec_id % 5 > 1 union all select vec_id, repo, list_reverse(e) from v where vec_id % 5 = 0 union all select vec_id + 100000000, repo, e from v where vec_id % 3 = 0),
+    s as (select q.vec_id query_id, c.id, round(list_cosine_similarity(q.e, c.e), 9) score from v q join c on c.repo = q.repo)
     select query_id, id, round(score, 6) score, cast(rank as integer) rank from (select *, row_number() over (partition by query_id order by score desc, id) rank from s) where rank <= 16""",
 )
 def _(t):
-    out = sr.vector_topk(t.vec.withColumnRenamed("vec_id", "query_id"), t.vec.withColumnRenamed("vec_id", "id"), 16)
+    # One fifth is replaced, one fifth is deleted, copies of a third are new; written twice as after a retry.
+    index = VectorIndex(t.spark, run_folder(t.spark, "vector-index"))
+    rows = t.vec.withColumnRenamed("vec_id", "id")
+    index.build(rows)
+    copies = rows.where("id % 3 = 0").withColumn("id", F.col("id") + 100_000_000)
+    after = rows.where("id % 5 = 0").withColumn("embedding", F.reverse("embedding")).unionByName(copies)
+    for _ in range(2):
+        index.write_segment(1, after, rows.where("id % 5 = 1"))
+    out = index.topk(t.vec.withColumnRenamed("vec_id", "query_id"), 16)
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 

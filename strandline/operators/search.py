@@ -27,7 +27,7 @@ BLOCK_ROWS = 8192
 STRIP = 2048
 
 
-def _block_topk(k: int, schema_columns: list[str]):
+def block_topk(k: int, schema_columns: list[str]):
     """Task-side helper: the best ``k`` vectors of a block for each question of a block."""
 
     def best(rows, places, scores):
@@ -82,7 +82,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     unit_of_work = ["repo", "__q", "__v"]
-    pair = _block_topk(k, ["query_id", "id", "score"])
+    pair = block_topk(k, ["query_id", "id", "score"])
     schema = f"query_id {ids['query_id']}, id {ids['id']}, score double"
     partial = left.groupBy(*unit_of_work).cogroup(right.groupBy(*unit_of_work)).applyInPandas(pair, schema)
     return top_rows(partial, ["query_id"], [F.desc("score"), F.col("id")], k)
