@@ -77,7 +77,7 @@ JOBS = f"""{CLOSURE}, lastt as (select repo, node_stable_id stable_id, max(gener
 
 def _changed(t):
     updated = t.orders.select(F.concat(F.lit("o:"), "o_orderkey").alias("stable_id"), F.col("o_orderdate").alias("updated_at"))
-    return cl.entries_with_changed_dependencies(_closure(t), updated, ds.last_traced(t.d_specs))
+    return cl.entries_with_changed_dependencies(t.g_calls, updated, ds.last_traced(t.d_specs))
 
 
 def _jobs(t):
