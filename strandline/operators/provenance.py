@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import written
+
+# Traces of a chunk; a list of observations holds one id's traces of a chunk.
+CHUNK_TRACES = 4096
 # Fixed value: detail of a conflicting edge.
 CONFLICT_DETAIL = "in AST but never observed in traces"
 
@@ -54,31 +58,49 @@ def upsert_dynamic_edges(edges: DataFrame, dynamic: DataFrame, nodes: DataFrame)
     return joined.withColumns({"provenance": provenance, "observed_count": count}).select(edges.columns)
 
 
-def distinct_observations(observed: DataFrame) -> DataFrame:
-    """(trace_id, stable_id) of one trace per distinct set of observed ids.
+def trace_lists(observed: DataFrame, ends: DataFrame) -> DataFrame:
+    """(stable_id, chunk, traces): the traces that observed each id of ``ends`` (stable_id), in lists of one chunk.
 
-    Traces that observed the same set confirm the same edges, so one of them suffices. Sets are
-    told apart by size and two independent 64-bit sums, built by a plain aggregate.
+    Traces are dealt to chunks of about ``CHUNK_TRACES`` by hash, so that a list is short however often an id was
+    observed, and two ids met in a trace exactly when their lists of some chunk overlap.
     """
-    pairs = observed.select("trace_id", "stable_id").distinct()
-    sets = pairs.groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("stable_id")).alias("h1"),
-        F.bit_xor(F.xxhash64(F.concat(F.lit("~"), "stable_id"))).alias("h2"),
-    )
-    chosen = sets.groupBy("n", "h1", "h2").agg(F.min("trace_id").alias("trace_id")).select("trace_id")
-    return pairs.join(chosen, "trace_id", "left_semi")
+    pairs = observed.select("trace_id", "stable_id").where("trace_id is not null")
+    chunks = max(1, -(-pairs.select("trace_id").distinct().count() // CHUNK_TRACES))
+    asked = pairs.join(ends.select("stable_id").distinct(), "stable_id", "left_semi").distinct()
+    chunk = F.pmod(F.xxhash64("trace_id"), F.lit(chunks)).alias("chunk")
+    return written(asked.groupBy("stable_id", chunk).agg(F.collect_list("trace_id").alias("traces")), "trace-lists")
+
+
+def met_pairs(pairs: DataFrame, observed: DataFrame) -> DataFrame:
+    """Distinct (source, target) of ``pairs`` with both ends observed in one trace.
+
+    The end that fewer traces observed leads: its lists are compared with the other's of the same chunk. One chunk
+    of each pair is looked at first, which settles pairs of frequent ends; only pairs without a hit go on to all chunks.
+    """
+    wanted = written(pairs.select("source", "target").distinct(), "wanted")
+    ends = wanted.select(F.col("source").alias("stable_id")).unionAll(wanted.select(F.col("target").alias("stable_id")))
+    lists = trace_lists(observed, ends)
+    counts = lists.groupBy("stable_id").agg(F.sum(F.size("traces")).alias("n"))
+    of = lambda end: counts.select(F.col("stable_id").alias(end), F.col("n").alias(f"n_{end}"))
+    both = wanted.join(of("source"), "source").join(of("target"), "target")
+    rarer = F.col("n_source") <= F.col("n_target")
+    led = written(both.select("source", "target", F.when(rarer, F.col("source")).otherwise(F.col("target")).alias("lead"),
+                              F.when(rarer, F.col("target")).otherwise(F.col("source")).alias("other")), "led")
+    others = lists.select(F.col("stable_id").alias("other"), "chunk", F.col("traces").alias("met"))
+
+    def hits(some: DataFrame, leading: DataFrame) -> DataFrame:
+        placed = some.join(leading.withColumnRenamed("stable_id", "lead"), "lead").join(others, ["other", "chunk"])
+        return placed.where(F.arrays_overlap("traces", "met")).select("source", "target").distinct()
+
+    low = lists.groupBy("stable_id").agg(F.min("chunk").alias("chunk"))
+    settled = written(hits(led, lists.join(low, ["stable_id", "chunk"], "left_semi")), "settled")
+    return settled.unionAll(hits(led.join(settled, ["source", "target"], "left_anti"), lists))
 
 
 def confirm_static_edges(edges: DataFrame, observed: DataFrame, now: Column) -> DataFrame:
     """Static CALLS edges with both ends observed in one trace become confirmed, counted once."""
-    distinct = distinct_observations(observed)
-    static = edges.filter((F.col("provenance") == "static") & (F.col("type") == "CALLS")).select("source", "target").distinct()
-    anywhere = distinct.select(F.col("stable_id").alias("target")).distinct()
-    candidates = static.join(anywhere, "target", "left_semi")
-    at_source = candidates.join(distinct.select("trace_id", F.col("stable_id").alias("source")), "source")
-    both = at_source.join(distinct.select("trace_id", F.col("stable_id").alias("target")), ["trace_id", "target"], "left_semi")
-    hit = both.select("source", "target").distinct().withColumns({"type": F.lit("CALLS"), "__hit": F.lit(True)})
+    static = edges.filter((F.col("provenance") == "static") & (F.col("type") == "CALLS"))
+    hit = met_pairs(static, observed).withColumns({"type": F.lit("CALLS"), "__hit": F.lit(True)})
     joined = edges.join(hit, ["source", "target", "type"], "left")
     confirmed = F.col("__hit").isNotNull() & (F.col("provenance") == "static")
     return joined.withColumns(
@@ -117,9 +139,10 @@ def settle_edges(edges: DataFrame, nodes: DataFrame, detect_conflicts: bool = Tr
 
 def provenance_pass(nodes: DataFrame, edges: DataFrame, paths: DataFrame, calls: DataFrame, dynamic: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """One batch in fixed order: nodes, dynamic edges, confirmation, conflicts, staleness."""
-    records = node_records(paths, calls)
+    # The node update, the edge confirmation and its two passes read both again.
+    records = written(node_records(paths, calls), "records")
     updated = update_nodes(nodes, records, now)
-    linked = upsert_dynamic_edges(edges, dynamic, nodes)
+    linked = written(upsert_dynamic_edges(edges, dynamic, nodes), "linked")
     observed = records.select("trace_id", "stable_id")
     settled = settle_edges(confirm_static_edges(linked, observed, now), updated)
     return updated, settled
