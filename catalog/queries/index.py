@@ -146,9 +146,7 @@ def _(t):
 
 @query("jn3_edge_endpoints", "select source, target from {doc_edges} where source in (select stable_id from {snap_prev}) and target in (select stable_id from {snap_prev})")
 def _(t):
-    known = t.snap_prev.select("stable_id")
-    edges = t.doc_edges.join(known.withColumnRenamed("stable_id", "source"), "source", "left_semi")
-    return edges.join(known.withColumnRenamed("stable_id", "target"), "target", "left_semi").select("source", "target")
+    return rs.existing_ends(t.doc_edges, t.snap_prev).select("source", "target")
 
 
 # Call references: line items call part names inside the file of their order.
@@ -173,7 +171,7 @@ def _(t):
 
 @query("ag22_distinct_edges", "select distinct repo, file_path, called_name from {call_refs}")
 def _(t):
-    return t.call_refs.dropDuplicates(["repo", "file_path", "called_name"]).select("repo", "file_path", "called_name")
+    return rs.distinct_references(t.call_refs)
 
 
 # Import statements: every order is an import node, customers and parts are their targets.

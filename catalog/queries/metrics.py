@@ -261,11 +261,16 @@ def _(t):
 
 @query(
     "tk9_deep_chains",
-    "select trace_id entity_id, cast(count(*) as double) \"value\", 'deep_chain' category, 'Call depth '||count(*)||' exceeds max 15' detail from {t_events} where type = 'call' group by trace_id having count(*) > 15",
+    f"""with {PAIRS}, d as (select trace_id, entry_id, max(hop) + 1 depth from pairs group by all)
+    select cast(entry_id as varchar) entity_id, trace_id, cast(depth as double) "value", 'deep_chain' category, 'Call depth '||depth||' exceeds max 2' detail from d where depth > 2""",
 )
 def _(t):
-    depth = t.t_events.filter("type = 'call'").groupBy("repo", F.col("trace_id").alias("entity_id")).agg(F.count("*").cast("double").alias("value"))
-    return bn.deep_chains(depth.withColumn("metric_name", F.lit("call_depth"))).select("entity_id", "value", "category", "detail")
+    pairs = tr.paired_calls(t.t_events, TRACE)
+    timings = tr.path_timings(pairs, t.t_traces, TRACE)
+    rows = mt.path_metrics_from_rows(t.t_traces, pairs, tr.side_effects(t.t_events, TRACE), timings, TRACE, "entry_id")
+    found = bn.deep_chains(rows.withColumn("entity_id", F.concat_ws("|", "entity_id", "trace_id")), max_depth=2)
+    split = F.split("entity_id", r"\|")
+    return found.select(split[0].alias("entity_id"), split[1].alias("trace_id"), "value", "category", "detail")
 
 
 @query(

@@ -131,7 +131,7 @@ def _(t):
 
 @query("set9_distinct_repos", "select distinct repo from {d_nodes}")
 def _(t):
-    return t.d_nodes.select("repo").distinct()
+    return ds.repositories(t.d_nodes)
 
 
 @query(

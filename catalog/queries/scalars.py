@@ -8,7 +8,7 @@ from catalog.queries.graph import EXPANDED
 from catalog.queries.search import BM25, questions
 from catalog.queries.streams import over, stream
 from catalog.registry import query
-from strandline.functions import text
+from strandline.functions import text, values
 from strandline.operators import expand as ex
 from strandline.operators import search as sr
 from strandline.plans.intents import request_defaults
@@ -20,9 +20,8 @@ from strandline.streaming import consume as cs
 @query("sc3_number_formats", "select l_orderkey, l_linenumber, l_partkey, printf('%.2f', l_discount) ratio, printf('~%.1fms', l_quantity + 0.04) ms, cast(round_even(l_tax * 100, 0) as integer)||'%' pct from lineitem")
 def _(t):
     return t.lineitem.select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.format_string("%.2f", "l_discount").alias("ratio"),
-        F.format_string("~%.1fms", F.col("l_quantity") + 0.04).alias("ms"),
-        F.concat(F.bround(F.col("l_tax") * 100, 0).cast("int").cast("string"), F.lit("%")).alias("pct"),
+        "l_orderkey", "l_linenumber", "l_partkey", values.ratio_text(F.col("l_discount")).alias("ratio"),
+        values.about_ms(F.col("l_quantity") + 0.04).alias("ms"), values.percent_text(F.col("l_tax")).alias("pct"),
     )
 
 
@@ -41,7 +40,7 @@ def _(t):
 
 @query("sc6_prefixed_hash", "select page_id, 'sha256:'||sha256(url||html) digest from pages")
 def _(t):
-    return t.pages.select("page_id", F.concat(F.lit("sha256:"), F.sha2(F.concat("url", "html"), 256)).alias("digest"))
+    return t.pages.select("page_id", values.digest(F.col("url"), F.col("html")).alias("digest"))
 
 
 @query("sc7_json_round_trip", "select event_id, cast(json_extract(props, '$.k') as integer) k, '{\"k\":'||cast(json_extract(props, '$.k') as integer)||'}' packed from events")
@@ -53,7 +52,7 @@ def _(t):
 @query("sc8_bounds", "select l_orderkey, l_linenumber, l_partkey, greatest(0.0e0, least(1.0e0, l_discount * 20)) clamped, abs(l_quantity - 25) distance, cast(floor(l_extendedprice / 1000) as bigint) thousands from lineitem")
 def _(t):
     return t.lineitem.select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("l_discount") * 20)).alias("clamped"),
+        "l_orderkey", "l_linenumber", "l_partkey", values.clamped(F.col("l_discount") * 20).alias("clamped"),
         F.abs(F.col("l_quantity") - 25).alias("distance"), F.floor(F.col("l_extendedprice") / 1000).alias("thousands"),
     )
 
@@ -69,8 +68,8 @@ def _(t):
     ts = F.col("ts").cast("timestamp")
     stream_id = F.concat_ws("-", F.unix_micros(ts), F.col("event_id"))
     return t.events.select(
-        "event_id", F.split_part(stream_id, F.lit("-"), F.lit(1)).cast("bigint").alias("stream_us"), F.unix_micros(ts - F.expr("interval 7 hours")).alias("shifted_us"),
-        (F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(ts) > 86_400_000_000).alias("older"),
+        "event_id", values.stream_time(stream_id).alias("stream_us"), F.unix_micros(ts - F.expr("interval 7 hours")).alias("shifted_us"),
+        values.older_than(F.lit("2024-02-01").cast("timestamp"), ts, 86_400).alias("older"),
     )
 
 
@@ -83,7 +82,7 @@ def _(t):
 @query("sc12_null_defaults", "select o_orderkey, coalesce(nullif(case when o_orderkey % 3 = 0 then '' else o_orderstatus end, ''), 'none') status, coalesce(case when o_orderkey % 4 > 0 then o_totalprice end, 0) price from orders")
 def _(t):
     status = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus"))
-    return t.orders.select("o_orderkey", F.coalesce(F.nullif(status, F.lit("")), F.lit("none")).alias("status"), F.coalesce(F.when(F.col("o_orderkey") % 4 > 0, F.col("o_totalprice")), F.lit(0.0)).alias("price"))
+    return t.orders.select("o_orderkey", values.filled(status, "none").alias("status"), F.coalesce(F.when(F.col("o_orderkey") % 4 > 0, F.col("o_totalprice")), F.lit(0.0)).alias("price"))
 
 
 @query("prj31_request_defaults", "select o_orderkey, case when o_orderkey % 3 = 0 then 2000 else cast(o_orderkey % 100 as integer) + 1 end max_tokens, case when o_orderkey % 2 = 0 then 8 else 5 end max_seeds, 2 hop_depth, cast(0.7 as double) decay from orders")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from strandline.functions import labels
+from strandline.functions import labels, scan
 from strandline.operators import traces as tr
+from strandline.plans.execution_path import execution_paths
 
 TRACE = ["repo", "entry_id", "trace_id"]
 
@@ -55,8 +56,9 @@ def _(t):
 )
 def _(t):
     calls = tr.linked_calls(t.t_events, tr.paired_calls(t.t_events, TRACE), TRACE)
-    pos = tr.per_query_rank(["trace_id"], F.col("link_pos"), F.col("seq")).cast("bigint")
-    return calls.select("trace_id", "link_pos", "seq", "fn", "hop", pos.alias("pos"))
+    order = ["link_pos", "seq"]
+    placed = scan.numbered(scan.range_chunks(calls.select("trace_id", *order, "fn", "hop"), ["trace_id"], order), ["trace_id"], order, "pos")
+    return placed.select("trace_id", "link_pos", "seq", "fn", "hop", F.col("pos").cast("bigint").alias("pos"))
 
 
 NAMED = """
@@ -190,13 +192,19 @@ def _(t):
     return out.select("trace_id", F.round("timing_p50_ms", 6).alias("timing_p50_ms"), F.round("timing_p99_ms", 6).alias("timing_p99_ms"))
 
 
+RATED = f"""{FREQ.replace('{keys}', 'repo, entry_id')}, rated as (select p.*, case when t.total_runs >= 5 then least(1.0, c.runs / cast(t.total_runs as double)) else 1.0 end ratio,
+      case when t.total_runs >= 5 then cast(c.total_ms as double) / c.runs else p.avg_ms end mean_ms
+    from pairs p join cumul c on p.repo = c.repo and p.entry_id = c.entry_id and p.fn = c.fn and p.run_no = c.run_no
+      join totals t on p.repo = t.repo and p.entry_id = t.entry_id and p.run_no = t.run_no)"""
+
+
 @query(
     "ag7_path_coverage",
-    f"""with {PAIRS}, sh as (select trace_id, avg(case when hop < 2 then 1.0 else 0.0 end) share from pairs group by trace_id)
+    f"""with {PAIRS}, {RATED}, sh as (select trace_id, avg(case when ratio > 0 then 1.0 else 0.0 end) share from rated group by trace_id)
     select t.trace_id, round(coalesce(case when t.run_no = 1 then 0.5 end, share, -1), 6) coverage_pct from {{t_traces}} t left join sh using (trace_id)""",
 )
 def _(t):
-    calls = tr.paired_calls(t.t_events, TRACE).withColumn("frequency_ratio", F.when(F.col("hop") < 2, 1.0).otherwise(0.0))
+    calls = tr.cross_run_frequencies(tr.paired_calls(t.t_events, [*TRACE, "run_no"]), ["repo", "entry_id"], "run_no")
     traces = t.t_traces.withColumn("reported", F.when(F.col("run_no") == 1, 0.5))
     out = tr.path_coverage(calls, traces, TRACE, "reported")
     return out.select("trace_id", F.round(F.coalesce("coverage_pct", F.lit(-1.0)), 6).alias("coverage_pct"))
@@ -252,3 +260,43 @@ def fn_nodes(t):
 )
 def _(t):
     return tr.resolve_functions_in_files(t.t_events, fn_nodes(t)).select("trace_id", "seq", "fn", "stable_id", "resolved")
+
+
+# Static edges of an entry: a ring over the functions of its repository, by the order of their ids, three steps long.
+STATIC = """
+ring as (select repo, stable_id, row_number() over (partition by repo order by stable_id) k, count(*) over (partition by repo) n from fn_nodes),
+entries as (select distinct repo, entry_id from {t_traces}),
+static as (select cast(e.entry_id as varchar) entry, a.stable_id source, b.stable_id target from entries e join ring a on a.repo = e.repo join ring b on b.repo = a.repo and b.k = a.k % a.n + 1
+  where (a.k + e.entry_id) % 7 < 3)
+"""
+
+
+def static_edges(t):
+    ring = fn_nodes(t).withColumns({c: F.expr(f"{e} over (partition by repo{o})") for c, e, o in (("k", "row_number()", " order by stable_id"), ("n", "count(*)", ""))})
+    ahead = ring.select("repo", F.col("k").alias("next"), F.col("stable_id").alias("target"))
+    steps = ring.withColumn("next", F.col("k") % F.col("n") + 1).join(ahead, ["repo", "next"])
+    entries = t.t_traces.select("repo", "entry_id").distinct()
+    return entries.join(steps, "repo").where("(k + entry_id) % 7 < 3").select(F.col("entry_id").cast("string").alias("entry"), F.col("stable_id").alias("source"), "target")
+
+
+@query(
+    "plan_execution_path",
+    f"""with {PAIRS}, {RATED}, {EFFECTS}, {FN_NODES}, {STATIC}, far as (select repo, name, min(stable_id) sid from fn_nodes group by all),
+    named_calls as (select r.*, coalesce(f.sid, r.fn) stable_id from rated r left join far f on f.repo = r.repo and f.name = r.fn),
+    seen as (select distinct cast(entry_id as varchar) entry, stable_id fn from named_calls),
+    mentioned as (select entry, source fn from static union select entry, target from static),
+    dynamic as (select entry, count(*) n from seen where (entry, fn) not in (select entry, fn from mentioned) group by entry),
+    never as (select entry, count(*) n from (select distinct * from static) where (entry, target) not in (select entry, fn from seen) group by entry),
+    pos as (select trace_id, list_sort(list(mean_ms)) v from named_calls where mean_ms > 0 group by trace_id),
+    c as (select trace_id, count(*) n, avg(case when ratio > 0 then 1.0 else 0.0 end) share from named_calls group by trace_id), e as (select trace_id, count(*) n from effects group by trace_id)
+    select t.trace_id, cast(t.entry_id as varchar) entry, coalesce(c.n, 0) n_calls, coalesce(e.n, 0) n_effects, coalesce(d.n, 0) n_dynamic_only, coalesce(m.n, 0) n_never_observed,
+      round(coalesce((v[cast(floor((len(v) - 1) / 2.0) as int) + 1] + v[cast(floor(len(v) / 2.0) as int) + 1]) / 2.0, t.duration_ms), 4) timing_p50_ms,
+      round(coalesce(v[least(cast(floor(len(v) * cast(0.99 as double)) as int), len(v) - 1) + 1], t.duration_ms), 4) timing_p99_ms, round(coalesce(c.share, -1), 6) coverage_pct
+    from {{t_traces}} t left join c using (trace_id) left join e using (trace_id) left join pos using (trace_id)
+      left join dynamic d on d.entry = cast(t.entry_id as varchar) left join never m on m.entry = cast(t.entry_id as varchar)""",
+)
+def _(t):
+    found = execution_paths(t.t_events, t.t_traces, fn_nodes(t), static_edges(t), TRACE, "entry_id", "run_no")
+    rounded = [F.round(c, 4).alias(c) for c in ("timing_p50_ms", "timing_p99_ms")]
+    coverage = F.round(F.coalesce("coverage_pct", F.lit(-1.0)), 6).alias("coverage_pct")
+    return found.paths.select("trace_id", "entry", "n_calls", "n_effects", "n_dynamic_only", "n_never_observed", *rounded, coverage)

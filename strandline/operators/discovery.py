@@ -66,3 +66,8 @@ def counters(found: DataFrame, queued: DataFrame) -> DataFrame:
     """Per repository: entrypoints discovered and jobs queued."""
     both = found.select("repo", F.lit(1).alias("d"), F.lit(0).alias("q")).unionAll(queued.select("repo", F.lit(0), F.lit(1)))
     return both.groupBy("repo").agg(F.sum("d").alias("discovered"), F.sum("q").alias("queued"))
+
+
+def repositories(nodes: DataFrame) -> DataFrame:
+    """Distinct repositories that hold a node."""
+    return nodes.select("repo").where(F.col("repo").isNotNull()).distinct()

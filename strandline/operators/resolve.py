@@ -139,3 +139,16 @@ def retry_pending(pending: DataFrame, nodes: DataFrame, repos: DataFrame, now: C
         {"attempt_count": F.col("attempt_count") + 1, "attempted_at": now}
     )
     return edges, idle.unionByName(again.select(pending.columns))
+
+
+def existing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among ``nodes`` (stable_id)."""
+    known = nodes.select("stable_id").distinct()
+    for end in ("source", "target"):
+        edges = edges.join(known.withColumnRenamed("stable_id", end), end, "left_semi")
+    return edges
+
+
+def distinct_references(references: DataFrame, keys: tuple[str, ...] = ("repo", "file_path", "called_name")) -> DataFrame:
+    """One row for each reference by its key; repeated ones combine in the task that reads them."""
+    return references.select(*keys).dropDuplicates(list(keys))
