@@ -1,11 +1,11 @@
 """Ordered scans over groups that may be too large for one task.
 
-A plain window would put a whole group in one task. Here rows are dealt to range partitions by
-(keys, order), whose sampled bounds balance the partitions whatever the orders look like; the
-partition number is a row's chunk. A window runs inside each chunk of a group, one summary row
-per chunk is carried over the chunks before it, and the carry is joined back on (keys, chunk).
-The summary rows of a group, one for each range partition at most, are the only thing one task
-ever sees together, so a group holding a third of all rows still spreads over the cluster.
+A plain window would put a whole group in one task. Here a row gets the number of its chunk from its own (keys, order):
+bounds from an even sample cut all rows, so a group holding a third of them spreads over a third of the chunks. A
+window runs inside each chunk of a group, one summary row per chunk is carried over the chunks before it, and the carry
+is joined back on (keys, chunk). The number is an expression of the row with the bounds as literals: nothing has to be
+written for readers to agree on it, and all windows of a scan share the one exchange by (keys, chunk). The summary rows
+of a group, one for each chunk at most, are the only thing one task ever sees together.
 """
 
 from __future__ import annotations
@@ -15,19 +15,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.session import cut_lineage
-
 CHUNK = "__chunk"
+# Rows drawn to place the bound of a chunk; they decide how even chunks are, not what a scan returns.
+SAMPLED = 32
+
+
+def _bounds(df: DataFrame, names: Sequence[str], chunks: int) -> list:
+    """Rows of ``names`` that cut ``df`` into about even parts, from ``SAMPLED`` rows a chunk, drawn by hash."""
+    columns = [F.col(n) for n in names]
+    drawn = df.select(*columns).orderBy(F.xxhash64(*columns)).limit(SAMPLED * chunks).orderBy(*columns).collect()
+    return list(dict.fromkeys(tuple(drawn[len(drawn) * k // chunks]) for k in range(1, chunks))) if len(drawn) >= chunks else []
 
 
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Chunk number: the range partition that a row falls into by ``keys`` and ``order``.
+    """Adds the chunk number, which never falls by ``order`` within ``keys``; equal (keys, order) share a chunk."""
+    names = list(dict.fromkeys([*keys, *order]))
+    bounds = _bounds(df, names, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    types = {f.name: f.dataType for f in df.select(*names).schema.fields}
+    row = F.struct(*names)
 
-    The result is checkpointed, which fixes the numbers for every reader.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(partitions, *keys, *order)
-    return cut_lineage(placed.withColumn(CHUNK, F.spark_partition_id().cast("bigint")))
+    def place(low: int, high: int) -> Column:
+        """The number of bounds at or below the row, by halving."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        bound = F.struct(*[F.lit(v).cast(types[n]).alias(n) for n, v in zip(names, bounds[mid], strict=True)])
+        return F.when(row < bound, place(low, mid)).otherwise(place(mid + 1, high))
+
+    return df.withColumn(CHUNK, place(0, len(bounds)).cast("bigint"))
 
 
 def _columns(order: str | Sequence[str]) -> list[str]:
@@ -48,7 +63,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
     keys = list(keys)
     upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(v).over(upto).alias(f"__l_{n}") for n, v in sums.items()])
-    totals = df.groupBy(*keys, CHUNK).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
+    # From the same exchange as the window.
+    totals = local.groupBy(*keys, CHUNK).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
     _, previous = _carry(keys)
     offsets = totals.select(
         *keys, CHUNK, *[F.coalesce(F.sum(f"__t_{n}").over(previous), F.lit(0)).alias(f"__o_{n}") for n in sums]
@@ -62,7 +78,7 @@ def running_max_before(df: DataFrame, keys: Sequence[str], order: str | Sequence
     keys = list(keys)
     before = _local(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("__l", F.max(value).over(before))
-    tops = df.groupBy(*keys, CHUNK).agg(F.max(value).alias("__t"))
+    tops = local.groupBy(*keys, CHUNK).agg(F.max(value).alias("__t"))
     _, previous = _carry(keys)
     carried = tops.select(*keys, CHUNK, F.max("__t").over(previous).alias("__o"))
     joined = local.join(carried, [*keys, CHUNK])
@@ -74,7 +90,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
     keys = list(keys)
     packed = F.struct(*fields)
     local = df.withColumn("__l", F.lag(packed).over(_local(keys, order)))
-    lasts = df.groupBy(*keys, CHUNK).agg(F.max_by(packed, F.struct(*_columns(order))).alias("__t"))
+    lasts = local.groupBy(*keys, CHUNK).agg(F.max_by(packed, F.struct(*_columns(order))).alias("__t"))
     ordered, _ = _carry(keys)
     carried = lasts.select(*keys, CHUNK, F.lag("__t").over(ordered).alias("__o"))
     joined = local.join(carried, [*keys, CHUNK])
