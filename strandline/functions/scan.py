@@ -3,9 +3,9 @@
 A plain window would put a whole group in one task. Here a row gets the number of its chunk from its own (keys, order):
 bounds from an even sample cut all rows, so a group holding a third of them spreads over a third of the chunks. A
 window runs inside each chunk of a group, one summary row per chunk is carried over the chunks before it, and the carry
-is joined back on (keys, chunk). The number is an expression of the row with the bounds as literals: nothing has to be
-written for readers to agree on it, and all windows of a scan share the one exchange by (keys, chunk). The summary rows
-of a group, one for each chunk at most, are the only thing one task ever sees together.
+is joined back on (keys, chunk). The number is an expression of the row with the bounds as literals, so placing rows takes
+no exchange; the windows of a scan need one, by (keys, chunk). The summary rows of a group, one for each chunk at most,
+are the only thing one task ever sees together.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import written
+
 CHUNK = "__chunk"
 # Rows drawn to place the bound of a chunk; they decide how even chunks are, not what a scan returns.
 SAMPLED = 32
@@ -42,7 +44,8 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
         bound = F.struct(*[F.lit(v).cast(types[n]).alias(n) for n, v in zip(names, bounds[mid], strict=True)])
         return F.when(row < bound, place(low, mid)).otherwise(place(mid + 1, high))
 
-    return df.withColumn(CHUNK, place(0, len(bounds)).cast("bigint"))
+    # Local scans and summaries read different columns of the rows: they are derived once, without an exchange.
+    return written(df.withColumn(CHUNK, place(0, len(bounds)).cast("bigint")), "chunks")
 
 
 def _columns(order: str | Sequence[str]) -> list[str]:
@@ -63,8 +66,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
     keys = list(keys)
     upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(v).over(upto).alias(f"__l_{n}") for n, v in sums.items()])
-    # From the same exchange as the window.
-    totals = local.groupBy(*keys, CHUNK).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
+    totals = df.groupBy(*keys, CHUNK).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
     _, previous = _carry(keys)
     offsets = totals.select(
         *keys, CHUNK, *[F.coalesce(F.sum(f"__t_{n}").over(previous), F.lit(0)).alias(f"__o_{n}") for n in sums]
@@ -78,7 +80,7 @@ def running_max_before(df: DataFrame, keys: Sequence[str], order: str | Sequence
     keys = list(keys)
     before = _local(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("__l", F.max(value).over(before))
-    tops = local.groupBy(*keys, CHUNK).agg(F.max(value).alias("__t"))
+    tops = df.groupBy(*keys, CHUNK).agg(F.max(value).alias("__t"))
     _, previous = _carry(keys)
     carried = tops.select(*keys, CHUNK, F.max("__t").over(previous).alias("__o"))
     joined = local.join(carried, [*keys, CHUNK])
@@ -90,7 +92,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
     keys = list(keys)
     packed = F.struct(*fields)
     local = df.withColumn("__l", F.lag(packed).over(_local(keys, order)))
-    lasts = local.groupBy(*keys, CHUNK).agg(F.max_by(packed, F.struct(*_columns(order))).alias("__t"))
+    lasts = df.groupBy(*keys, CHUNK).agg(F.max_by(packed, F.struct(*_columns(order))).alias("__t"))
     ordered, _ = _carry(keys)
     carried = lasts.select(*keys, CHUNK, F.lag("__t").over(ordered).alias("__o"))
     joined = local.join(carried, [*keys, CHUNK])

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from strandline.session import written
 
+# Rounds of single edges before runs are contracted.
+SHALLOW = 6
+
 
 def contract_chains(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges between crossings, and what lies between them.
@@ -50,39 +53,43 @@ def contract_chains(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataF
 def transitive_closure(entries: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Distinct (entry, node) pairs with at least one call path from entry to node.
 
-    Runs of nodes without branches are taken as one step; what lies inside of them is attached at the end. Semi-naive:
-    only pairs found in the last round are extended, pairs already known are removed by an anti-join, so cycles end.
-    Each round is written once. An entry is its own node only when a cycle leads back to it. With ``max_hops`` every
-    edge is a step.
+    Semi-naive: only pairs found in the last round are extended, pairs already known are removed by an anti-join, so
+    cycles end. Each round is written once. An entry is its own node only when a cycle leads back to it. Where paths go
+    on after ``SHALLOW`` rounds, runs of nodes without branches are contracted, so that a run is one further step; what
+    lies inside of runs is attached at the end. With ``max_hops`` every edge is a step.
     """
     asked = entries.select("entry").distinct()
-    if max_hops is not None:
-        return _steps(asked, edges.select("source", "target"), max_hops)
+    links = edges.select("source", "target")
+    near, ended = _steps(asked, links, SHALLOW if max_hops is None else max_hops)
+    if ended or max_hops is not None:
+        return near
     crossings, members = contract_chains(edges, asked.select(F.col("entry").alias("node")))
-    reached = written(_steps(asked, crossings.select("source", "target").distinct()), "reached")
+    reached = written(_steps(asked, crossings.select("source", "target").distinct())[0], "reached")
     starts = reached.unionAll(asked.select("entry", F.col("entry").alias("node"))).distinct()
     through = crossings.where("chain is not null").select(F.col("source").alias("node"), "chain")
     inside = starts.join(through, "node").select("entry", "chain").distinct().join(members, "chain").select("entry", "node")
     return reached.unionAll(inside)
 
 
-def _steps(entries: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+def _steps(entries: DataFrame, edges: DataFrame, max_hops: int | None = None) -> tuple[DataFrame, bool]:
+    """Pairs within ``max_hops`` rounds, and whether the last round found nothing more."""
     steps = edges.select(F.col("source").alias("__at"), F.col("target").alias("node"))
     found = entries.withColumn("__at", F.col("entry")).join(steps, "__at")
-    rounds = [written(found.select("entry", "node").distinct(), "round")]
-    while max_hops is None or len(rounds) < max_hops:
-        known = rounds[0]
-        for earlier in rounds[1:]:
-            known = known.unionAll(earlier)
+    rounds, ended = [written(found.select("entry", "node").distinct(), "round")], False
+
+    def known() -> DataFrame:
+        whole = rounds[0]
+        for later in rounds[1:]:
+            whole = whole.unionAll(later)
+        return whole
+
+    while not ended and (max_hops is None or len(rounds) < max_hops):
         ahead = rounds[-1].select("entry", F.col("node").alias("__at")).join(steps, "__at").select("entry", "node").distinct()
-        fresh = written(ahead.join(known, ["entry", "node"], "left_anti"), "round")
-        if fresh.isEmpty():
-            return known
-        rounds.append(fresh)
-    whole = rounds[0]
-    for later in rounds[1:]:
-        whole = whole.unionAll(later)
-    return whole
+        fresh = written(ahead.join(known(), ["entry", "node"], "left_anti"), "round")
+        ended = fresh.isEmpty()
+        if not ended:
+            rounds.append(fresh)
+    return known(), ended
 
 
 def greatest_reachable(edges: DataFrame, values: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def trace_lists(observed: DataFrame, ends: DataFrame) -> DataFrame:
     observed, and two ids met in a trace exactly when their lists of some chunk overlap.
     """
     pairs = observed.select("trace_id", "stable_id").where("trace_id is not null")
-    chunks = max(1, -(-pairs.select("trace_id").distinct().count() // CHUNK_TRACES))
+    chunks = max(1, -(-pairs.agg(F.approx_count_distinct("trace_id")).first()[0] // CHUNK_TRACES))
     asked = pairs.join(ends.select("stable_id").distinct(), "stable_id", "left_semi").distinct()
     chunk = F.pmod(F.xxhash64("trace_id"), F.lit(chunks)).alias("chunk")
     return written(asked.groupBy("stable_id", chunk).agg(F.collect_list("trace_id").alias("traces")), "trace-lists")
@@ -77,15 +77,15 @@ def met_pairs(pairs: DataFrame, observed: DataFrame) -> DataFrame:
     The end that fewer traces observed leads: its lists are compared with the other's of the same chunk. One chunk
     of each pair is looked at first, which settles pairs of frequent ends; only pairs without a hit go on to all chunks.
     """
-    wanted = written(pairs.select("source", "target").distinct(), "wanted")
+    wanted = pairs.select("source", "target").distinct()
     ends = wanted.select(F.col("source").alias("stable_id")).unionAll(wanted.select(F.col("target").alias("stable_id")))
     lists = trace_lists(observed, ends)
     counts = lists.groupBy("stable_id").agg(F.sum(F.size("traces")).alias("n"))
     of = lambda end: counts.select(F.col("stable_id").alias(end), F.col("n").alias(f"n_{end}"))
     both = wanted.join(of("source"), "source").join(of("target"), "target")
     rarer = F.col("n_source") <= F.col("n_target")
-    led = written(both.select("source", "target", F.when(rarer, F.col("source")).otherwise(F.col("target")).alias("lead"),
-                              F.when(rarer, F.col("target")).otherwise(F.col("source")).alias("other")), "led")
+    lead, other = F.when(rarer, F.col("source")).otherwise(F.col("target")), F.when(rarer, F.col("target")).otherwise(F.col("source"))
+    led = both.select("source", "target", lead.alias("lead"), other.alias("other"))
     others = lists.select(F.col("stable_id").alias("other"), "chunk", F.col("traces").alias("met"))
 
     def hits(some: DataFrame, leading: DataFrame) -> DataFrame:
