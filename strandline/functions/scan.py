@@ -99,6 +99,45 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
     return joined.select(*df.columns, F.coalesce("__l", "__o").alias(name))
 
 
+def as_of(rows: DataFrame, probes: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], name: str) -> DataFrame:
+    """``probes`` with a struct of ``values`` of the last of ``rows`` whose ``at`` is not above theirs (null without one).
+
+    The values, compared in their order, must not fall by ``at`` within ``keys``. Rows and probes share one range of chunks,
+    so neither a group with many rows nor a time asked for by many probes is one task's. ``at`` is not null.
+    """
+    keys, carried = list(keys), [c for c in probes.columns if c not in (*keys, at)]
+    kept = probes.select(*keys, at, F.lit(1).alias("__kind"), F.struct(F.lit(0).alias("__none"), *carried).alias("__probe"))
+    found = rows.select(*keys, at, F.lit(0).alias("__kind"), F.struct(*values).alias("__value"))
+    both = range_chunks(found.unionByName(kept, allowMissingColumns=True), keys, [at, "__kind"])
+    placed = running_max_before(both, keys, [at, "__kind"], "__value", name).where("__kind = 1")
+    return placed.select(*keys, at, *[F.col(f"__probe.{c}").alias(c) for c in carried], name)
+
+
+def sliding_sums(df: DataFrame, keys: Sequence[str], at: str, low: int, high: int, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with sums over the rows of its group whose ``at`` lies in at + low .. at + high (null without any).
+
+    Differences of running sums at the two edges, so the sums should be of whole numbers or decimals: doubles would lose
+    digits. One row stands for equal (keys, at), hence a tick with many rows is summed before anything is put in order. Rows
+    without ``at`` or with a null key get null.
+    """
+    keys = list(keys)
+    ticks = df.where(F.col(at).isNotNull()).groupBy(*keys, at).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(v).alias(f"__v_{n}") for n, v in sums.items()])
+    ticks = range_chunks(ticks, keys, [at])
+    upto = {"__rows": F.col("__n"), **{n: F.coalesce(f"__v_{n}", F.lit(0)) for n in sums}}
+    prefix = written(running_sums(ticks, keys, at, {f"__p_{n}": v for n, v in upto.items()}), "prefix")
+    edges = F.explode(F.array(F.lit(low - 1), F.lit(high)))
+    probes = ticks.select(*keys, F.col(at).alias("__of"), edges.alias("__edge")).withColumn(at, F.col("__of") + F.col("__edge"))
+    looked = as_of(prefix, probes, keys, at, [f"__p_{n}" for n in upto], "__p")
+
+    def between(field: str) -> Column:
+        edge = lambda e: F.coalesce(F.max(F.when(F.col("__edge") == e, F.col(f"__p.__p_{field}"))), F.lit(0))
+        return edge(high) - edge(low - 1)
+
+    found = looked.groupBy(*keys, "__of").agg(between("__rows").alias("__rows"), *[between(n).alias(n) for n in sums])
+    found = found.select(*keys, F.col("__of").alias(at), *[F.when(F.col("__rows") > 0, F.col(n)).alias(n) for n in sums])
+    return df.join(found, [*keys, at], "left").select(*df.columns, *sums)
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], name: str) -> DataFrame:
     """1-based position by ``order`` within ``keys``."""
     return running_sums(df, keys, order, {name: F.lit(1)})

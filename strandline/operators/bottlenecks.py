@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import labels
+from strandline.functions.scan import sliding_sums
 from strandline.functions.text import last_segment
 from strandline.operators.metrics import PIPELINE, slow_functions, union_metrics
 
@@ -65,13 +66,15 @@ def processing_lag(lags: DataFrame, threshold_s: float = LAG_THRESHOLD_S) -> Dat
 def throughput_drop(rates: DataFrame, threshold_pct: float = DROP_PCT, baseline: str = "previous", tick_s: int = 1) -> DataFrame:
     """Streams whose rate fell by the threshold against the previous tick or the rolling hour.
 
-    ``rates`` holds (entity_id, tick, value). The rolling form reads one row per tick.
+    ``rates`` holds (entity_id, tick, value). The rolling hour is the mean of the rows in the ticks before, from sums over
+    ranges of a stream's history; values count to 15 digits after the point and must stay below 1e13.
     """
     if baseline == "previous":
         rows = _with_previous_tick(rates, "value", "__base")
     else:
-        hour = Window.partitionBy("entity_id").orderBy("tick").rangeBetween(-(3600 // tick_s), -1)
-        rows = rates.withColumn("__base", F.avg("value").over(hour))
+        parts = {"__sum": F.col("value").cast("decimal(28,15)"), "__many": F.when(F.col("value").isNotNull(), 1).otherwise(0)}
+        rows = sliding_sums(rates, ["entity_id"], "tick", -(3600 // tick_s), -1, parts)
+        rows = rows.withColumn("__base", F.col("__sum").cast("double") / F.nullif(F.col("__many"), F.lit(0))).drop("__sum", "__many")
     rows = rows.filter((F.col("__base") > 0) & (F.col("value") < F.col("__base")))
     rows = rows.withColumn("__drop", (F.col("__base") - F.col("value")) / F.col("__base") * 100)
     rows = rows.filter(F.col("__drop") >= threshold_pct)

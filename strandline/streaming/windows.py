@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from strandline.session import cut_lineage
+from strandline.functions.scan import as_of
+from strandline.session import written
 from strandline.sources.tables import ChangeLog
 
 
@@ -32,68 +29,47 @@ def idle_sessions(stream: DataFrame, keys: list[str], ts: str, gap: str = "7 day
     return grouped.select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), F.col("count").alias("events"))
 
 
-def readmit_after(stream: DataFrame, keys: list[str], ts: str, horizon_s: int = 86_400) -> DataFrame:
-    """(keys, ts) of accepted rows: the first of a key, then each that comes ``horizon_s`` or later after the last accepted.
-
-    The state of a key is the time of its last accepted row. Rows of a batch are taken in the order
-    of ``ts``, so the result does not depend on where batches of ordered rows are cut. Of rows at one
-    time one is accepted; a row before the last accepted one is a repeat.
-    """
-    horizon = horizon_s * 1_000_000
-
-    def each(key, frames, state):
-        last = state.get[0] if state.exists else None
-        times = sorted(v for frame in frames for v in frame["__us"])
-        taken = []
-        for us in times:
-            if last is None or us >= last + horizon:
-                taken.append(us)
-                last = us
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({**{k: pd.Series([v] * len(taken)) for k, v in zip(keys, key, strict=True)}, "__us": pd.Series(taken, dtype="int64")})
-
-    micros = stream.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("__us"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in micros.schema.fields)
-    accepted = micros.groupBy(*keys).applyInPandasWithState(each, kinds, "last bigint", "append", GroupStateTimeout.NoTimeout)
-    return accepted.select(*keys, F.timestamp_micros("__us").alias(ts))
-
-
 def next_admitted(rows: DataFrame, last: DataFrame, keys: list[str], ts: str, horizon_s: int = 86_400) -> DataFrame:
-    """(keys, us) of the rows of one batch that ``readmit_after`` accepts, after ``last`` (keys, us) of earlier batches.
+    """(keys, us) of the rows of one batch that are accepted, after ``last`` (keys, us) of earlier batches: the first of a
+    key, then each that comes ``horizon_s`` or later after the last accepted.
 
-    No group is gathered: distinct times are dealt out by key and slice of ``horizon_s``, and all keys step together from
-    their last accepted time to the first one ``horizon_s`` or later, in its slice or the first time of a later slice. A
-    slice holds one accepted time of a key at most, so there are as many steps as slices in the batch, and one. Rows without time are left out.
+    Pointer jumping: every time of a key points to the first one ``horizon_s`` or later, which is one scan over ranges of
+    times; from the first accepted time of each key the chain of pointers is then followed in steps of 1, 2, 4, ... pointers.
+    The number of rounds is the logarithm of the longest chain there can be. No key's rows are gathered. Of rows at one time one
+    is accepted, a row before the last accepted one is a repeat, rows without time are left out. Null is a key like any other.
     """
     horizon = horizon_s * 1_000_000
-    slice_of = F.expr(f"cast(floor(us / {horizon}) as bigint)")
-    times = cut_lineage(rows.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).where("us is not null").distinct().withColumn("slice", slice_of))
-    slices = cut_lineage(times.groupBy(*keys, "slice").agg(F.min("us").alias("us")))
-
-    def same(a, b):
-        out = F.lit(True)
-        for key in keys:
-            out = out & F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}"))
-        return out
-
-    def after(found):
-        return found.select(*keys, (F.col("us") + horizon).alias("us")).withColumn("slice", slice_of).alias("l")
-
-    news = slices.groupBy(*keys).agg(F.min("us").alias("us")).alias("t")
-    accepted = [cut_lineage(news.join(last.alias("l"), same("t", "l"), "left_anti"))]
-    at = cut_lineage(accepted[0].unionByName(last.alias("l").join(news, same("l", "t"), "left_semi").select(*keys, "us")))
-    while True:
-        inside = times.alias("t").join(after(at), same("t", "l") & F.expr("t.slice = l.slice and t.us >= l.us"))
-        later = slices.alias("t").join(after(at), same("t", "l") & F.expr("t.slice > l.slice"))
-        at = cut_lineage(inside.select("t.*").unionByName(later.select("t.*")).groupBy(*keys).agg(F.min("us").alias("us")))
-        if at.isEmpty():
-            return reduce(DataFrame.unionByName, accepted)
-        accepted.append(at)
+    # A text for all keys, which joins treat alike whether keys are null or not.
+    named = F.to_json(F.struct(*keys)).alias("__key")
+    times = rows.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).where("us is not null").distinct()
+    times = written(times.select("*", named), "times")
+    before = last.select(named, F.col("us").alias("__last"))
+    span = times.groupBy("__key").agg(F.min("us").alias("low"), F.max("us").alias("high"))
+    chain = span.agg(F.max(F.floor((F.col("high") - F.col("low")) / horizon)).alias("steps")).first()["steps"]
+    if chain is None:
+        return times.select(*keys, "us")
+
+    # Ranges run backwards: the last time not above -(us + horizon) is the first one at or behind us + horizon.
+    back = times.select("__key", (-F.col("us")).alias("at"))
+    known = times.select("__key", "us").unionByName(before.select("__key", F.col("__last").alias("us")).join(span, "__key", "left_semi")).distinct()
+    probes = known.withColumn("at", -F.col("us") - F.lit(horizon))
+    pointed = as_of(back.withColumn("v", F.col("at")), probes, ["__key"], "at", ["v"], "__to")
+    jumps = written(pointed.select("__key", "us", (-F.col("__to.v")).alias("to")).where("to is not null"), "jumps")
+
+    fresh = span.join(before, "__key", "left_anti").select("__key", F.col("low").alias("us"))
+    begun = before.withColumnRenamed("__last", "us").join(jumps, ["__key", "us"]).select("__key", F.col("to").alias("us"))
+    taken = fresh.unionByName(begun)
+    for k in range(int(chain).bit_length()):
+        ahead = taken.join(jumps, ["__key", "us"]).select("__key", F.col("to").alias("us"))
+        taken = written(taken.unionByName(ahead), "taken")
+        if k + 1 < int(chain).bit_length():
+            onward = jumps.select("__key", F.col("us").alias("to"), F.col("to").alias("__next"))
+            jumps = written(jumps.join(onward, ["__key", "to"]).select("__key", "us", F.col("__next").alias("to")), "jumps")
+    return times.join(taken, ["__key", "us"], "left_semi").select(*keys, "us")
 
 
 def readmit_batches(stream: DataFrame, keys: list[str], ts: str, log: ChangeLog, horizon_s: int = 86_400):
-    """``readmit_after`` for hot keys, as (handler for ``foreachBatch``, schema): accepted (keys, us) are a table in ``log``.
+    """``next_admitted`` as (handler for ``foreachBatch``, schema): accepted (keys, us) are a table in ``log``.
 
     A replayed batch starts from the batches before it and writes the same rows again.
     """

@@ -172,6 +172,41 @@ def test_bottleneck_rules(spark):
     assert [(r.value, r.severity) for r in bottlenecks.throughput_drop(rates).collect()] == [(80.0, "critical")]
 
 
+def test_sliding_sums_equal_a_loop(spark):
+    rng = random.Random(8)
+    rows = [("hot", rng.randrange(0, 900), rng.randint(-5, 9)) for _ in range(1200)] + [(k, rng.randrange(0, 40), rng.choice([None, 3])) for k in "abc" for _ in range(8)]
+    rows += [("gap", 0, 1), ("gap", 500, 2), ("none", None, 4)]
+    df = spark.createDataFrame(rows, "key string, tick bigint, v bigint")
+    for low, high in ((-7, -1), (-3, 0), (2, 5)):
+        got = scan.sliding_sums(df, ["key"], "tick", low, high, {"total": F.col("v")}).collect()
+        want = []
+        for key, tick, v in rows:
+            near = [] if tick is None else [x for k, t, x in rows if k == key and t is not None and tick + low <= t <= tick + high]
+            want.append((key, tick, v, sum(x or 0 for x in near) if near else None))
+        order = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else (False, x) for x in r)
+        assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
+def test_as_of_finds_the_last_row_at_or_before(spark):
+    rows = spark.createDataFrame([("a", 3, 30), ("a", 7, 70), ("b", 5, 50)], "key string, at bigint, v bigint")
+    probes = spark.createDataFrame([("a", 2, "p"), ("a", 3, "q"), ("a", 9, "r"), ("a", 9, "r"), ("c", 1, "s")], "key string, at bigint, label string")
+    got = scan.as_of(rows, probes, ["key"], "at", ["v"], "hit").collect()
+    assert sorted((r.label, r.hit and r.hit.v) for r in got) == [("p", None), ("q", 30), ("r", 70), ("r", 70), ("s", None)]
+
+
+def test_a_long_stream_is_compared_with_its_hour_in_ranges(spark):
+    """One stream with all rows: against the window a plain plan would use, and no task holds more than a part of it."""
+    from pyspark.sql import Window
+
+    rates = spark.range(20_000).select(F.lit("s:x").alias("entity_id"), F.col("id").alias("tick"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 7.0).alias("value"))
+    hour = Window.partitionBy("entity_id").orderBy("tick").rangeBetween(-60, -1)
+    plain = rates.withColumn("base", F.avg("value").over(hour)).where("base > 0 and (base - value) / base * 100 >= 50")
+    want = {r.tick: round((r.base - r.value) / r.base * 100, 9) for r in plain.collect()}
+    got = {r.tick: round(r.value, 9) for r in bottlenecks.throughput_drop(rates, baseline="rolling_1h", tick_s=60).collect()}
+    assert got == want and len(got) > 1000
+    assert scan.range_chunks(rates, ["entity_id"], ["tick"]).groupBy(scan.CHUNK).count().agg(F.max("count")).first()[0] < 12_000
+
+
 def test_no_task_holds_a_hot_trace(spark):
     """Sparse orders and one trace with nearly all rows: its chunks are a fraction of it each."""
     rows = [("hot", i * 10_000_000 + i % 7, "call" if i % 2 == 0 else "return", "f", "f.py", None, float(i), None, None) for i in range(4000)]

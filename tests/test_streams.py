@@ -95,21 +95,46 @@ def test_graph_log_orders_deletions(spark):
     assert got_edges.count() == 0
 
 
-def test_work_is_readmitted_after_a_day_however_batches_are_cut(spark):
+def test_work_is_readmitted_as_one_key_after_another_would_be(spark):
+    """A key with most rows, keys of one row and a null key, in batches cut anywhere, against a loop over sorted times."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strandline.streaming import windows as wn
+
+    rng, hour = random.Random(6), 3600
+    rows = [("hot", rng.randrange(0, 60 * 24 * hour)) for _ in range(1500)] + [(rng.choice(["a", "b", None]), rng.randrange(0, 20 * 24 * hour)) for _ in range(60)]
+    rows += [("edge", at) for at in (0, 24 * hour - 1, 24 * hour, 48 * hour, 48 * hour, 100 * hour)] + [("late", None)]
+    want = {}
+    for key, at in sorted((r for r in rows if r[1] is not None), key=lambda r: r[1]):
+        if key not in want or at >= want[key][-1] + 24 * hour:
+            want.setdefault(key, []).append(at)
+    schema = "key string, ts timestamp"
+    for cuts in ([0, 10**9], [0, 9 * 24 * hour + 5, 30 * 24 * hour, 10**9]):
+        log, got = ChangeLog(spark, run_folder(spark, "admitted")), {}
+        handler, kinds = wn.readmit_batches(spark.createDataFrame([], schema), ["key"], "ts", log)
+        for number, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            part = [r for r in rows if (r[1] is None and number == 0) or (r[1] is not None and low <= r[1] < high)]
+            handler(spark.createDataFrame(part, "key string, s bigint").select("key", F.timestamp_seconds("s").alias("ts")), number)
+        for r in log.read(kinds).collect():
+            got.setdefault(r.key, []).append(r.us // 1_000_000)
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_a_year_of_slices_takes_a_few_rounds(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from strandline.streaming import windows as wn
 
-    hours = [0, 1, 23, 24, 30, 47, 48, 49, 100, 123, 124]
-    want = [0, 24, 48, 100, 124]
-    for per_file in (2, 5, 11):
-        folder = run_folder(spark, "jobs")
-        for at in range(0, len(hours), per_file):
-            part = spark.createDataFrame([("k", h * 3600) for h in hours[at : at + per_file]], "key string, s bigint")
-            part.select("key", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
-        rows = cs.to_table(wn.readmit_after(stream, ["key"], "ts"), "admitted").collect()
-        assert sorted(int(r.ts.timestamp()) // 3600 for r in rows) == want
+    tables, real = [], wn.written
+    monkeypatch.setattr(wn, "written", lambda df, label: tables.append(label) or real(df, label))
+    rows = spark.range(365 * 4).select(F.lit("k").alias("key"), F.timestamp_seconds(F.col("id") * 21_600).alias("ts"))
+    last = spark.createDataFrame([], "key string, us bigint")
+    assert wn.next_admitted(rows, last, ["key"], "ts").count() == 365
+    assert tables.count("taken") == 9 and len(tables) <= 20
+    empty = wn.next_admitted(rows.limit(0), last, ["key"], "ts")
+    assert empty.columns == ["key", "us"] and empty.count() == 0
 
 
 def test_work_is_readmitted_without_gathering_a_key(spark):
