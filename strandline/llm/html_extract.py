@@ -18,9 +18,13 @@ EPOCHS, RATE, PENALTY = 150, 0.1, 1e-4
 
 # Fixed values of the markup language.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+# Formulas stand in their sentence; annotations repeat them in another notation.
+INLINE |= set("math menclose mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style template noscript iframe object svg math head title textarea select canvas audio video".split())
+HIDDEN = set("script style template noscript iframe object svg title textarea select canvas audio video annotation annotation-xml".split())
 RAW = set("script style textarea title".split())
+# What cannot stand in a list of choices: its start ends one that is left open.
+SECTIONS = set("article aside body footer form header main nav section".split())
 # A start tag on the left ends an open element on the right.
 # The element that carries labels in made pages; it leaves no trace in features.
 LABEL = "x-label"
@@ -46,7 +50,9 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order: what stands between two tags of block elements, white space made single.
 
     Inline tags do not end a block, ``br`` counts as white space. What scripts, styles and other elements without prose hold
-    is left out. Unclosed elements end with their parents, stray end tags are ignored.
+    is left out; such an element, left open, ends with its parent, a list of choices also where a section begins. Scripts, styles,
+    titles and text fields run to their end tag or the end of the page. A head needs no end: what it may hold has no prose.
+    Unclosed elements end with their parents, stray end tags are ignored.
     """
     out: list[Block] = []
     # Open block elements; sets are shared with the parent where nothing is new, so deep nesting costs little.
@@ -54,6 +60,8 @@ def blocks(page: str) -> list[Block]:
     opened: Counter = Counter()
     parts: list[str] = []
     linked, in_link, hidden = 0, False, ""
+    # Elements opened within the hidden one.
+    within: Counter = Counter()
 
     def flush():
         nonlocal linked
@@ -81,10 +89,17 @@ def blocks(page: str) -> list[Block]:
         tag = (found[2] or "").lower()
         if not tag:
             continue
+        if hidden and found[1]:
+            if within[tag]:
+                within[tag] -= 1
+                continue
+            if tag != hidden and not opened[tag] and not (tag == "math" and hidden.startswith("annotation")):
+                continue
+            ended, hidden = hidden, ""
+            if tag == ended:
+                continue
         if found[1]:
-            if hidden:
-                hidden = "" if tag == hidden else hidden
-            elif tag == "a":
+            if tag == "a":
                 in_link = False
             elif tag not in INLINE and opened[tag]:
                 flush()
@@ -93,26 +108,31 @@ def blocks(page: str) -> list[Block]:
             elif tag not in INLINE:
                 flush()
             continue
-        if hidden:
-            if tag == "body" and hidden == "head":
-                hidden = ""
-            else:
-                continue
-        if tag in HIDDEN:
-            if tag in RAW:  # no tags inside: go to its end
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+        if hidden and found[3].endswith("/"):
+            continue
+        if tag in RAW:  # no tags inside: go to its end
+            end = re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I).search(page, at)
+            at = end.end() if end else size
+            if not hidden:
                 parts.append(" ")
-            elif not found[3].endswith("/"):
-                flush()
+            continue
+        if hidden == "select" and tag in SECTIONS:
+            hidden = ""
+        if hidden:
+            within[tag] += tag not in VOID
+        elif tag in HIDDEN:
+            if not found[3].endswith("/"):
+                if not tag.startswith("annotation"):
+                    flush()
                 hidden = tag
+                within.clear()
         elif tag == "a":
             in_link = True
         elif tag == "br":
             parts.append(" ")
         elif tag not in INLINE:
             flush()
-            if tag in VOID:
+            if tag in VOID or tag == "head":
                 continue
             closed = CLOSES.get(tag, set()) | {"p"}
             while stack and stack[-1][0] in closed:
@@ -258,6 +278,12 @@ _AFTER = [
     '<div class="footer copyright bottom">{long}</div>', '<div class="related recommended more"><h3>{short}</h3><ul>{links}</ul></div>', '<div class="sidebar"><p>{long}</p></div>',
     '<form class="contact"><p>{long}</p><label>{short}</label></form>', '<div class="author bio tags meta"><p>{short}</p></div>', '<div class="modal overlay consent"><p>{long}</p></div>',
 ]
+# Where no page of a table shows its main text by its markup, made pages are built around these.
+_PLAIN = [
+    ("The river and its mills", "For two hundred years the mills along the river ground the corn of the valley, and the millers, who lived above their wheels, knew every bend of it.", "When the railway came, flour could be had from the coast for less. One wheel after another stopped turning.", "Only the lowest mill still runs. Its owners, a couple from the town, open it on Sundays."),
+    ("How to store apples", "Pick them dry, on a cool day, and handle them as little as you can.", "Lay them in a single layer, without touching, in a cellar that stays just above freezing; look through them every week, since one that rots will spoil its neighbours.", "Late sorts keep until spring. Early ones, however good, do not."),
+    ("Results of the survey", "Of the 1,204 households that answered, a little under half said that they had changed their supplier in the last three years.", "Price was named most often, but not by everyone: older people, in particular, spoke of service.", "The next survey is planned for autumn, with more questions about heating."),
+]
 _DROP = set("nav footer aside form header".split())
 _DROP_NAMES = set("ad ads advert comment comments sidebar menu footer nav cookie banner promo related share".split())
 
@@ -315,8 +341,11 @@ def labelled_variants(page: str, draw: random.Random) -> list[list[Block]]:
 
 
 def train(pages: list[str]) -> Field:
-    """Fits the field to the pages as their markup labels them, and to made variants of each."""
+    """Fits the field to the pages as their markup labels them, and to made variants of each; without any such page, to
+    variants of ``_PLAIN``."""
     draw = random.Random(7)
+    if not any(seed_label(b) for page in pages for b in blocks(page)):
+        pages = [f"<article><h1>{title}</h1>{''.join(f'<p>{p}</p>' for p in texts)}</article>" for title, *texts in _PLAIN] * 8
     sequences = []
     for page in pages:
         found = blocks(page)
@@ -347,7 +376,7 @@ def extract(pages: DataFrame, carry: tuple = ("page_id", "url")) -> DataFrame:
     """(*carry, text, n_chars) of every row of ``pages`` (html, *carry).
 
     The field is trained on a bounded sample of pages that have an article or main element, taken in hash order of
-    html; without any it finds no main text. A null or empty page has an empty text. Rows repeat as they come.
+    html; without any, on made pages alone. A null or empty page has an empty text. Rows repeat as they come.
     """
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select(F.xxhash64("html").alias("h"), F.substring("html", 1, EXCERPT).alias("page"))
     # Hashes decide first, so that few pages travel however many tasks there are; copies of a page count once.

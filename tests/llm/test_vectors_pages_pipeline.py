@@ -131,6 +131,42 @@ def test_malformed_pages_take_linear_time(page):
     html_extract.blocks(page)
 
 
+ARTICLE = "<article><h1>Title of it</h1><p>The first paragraph, which is long enough to be one.</p><p>The second one ends here.</p></article>"
+WHOLE = "Title of it\n\nThe first paragraph, which is long enough to be one.\n\nThe second one ends here."
+
+
+@pytest.mark.parametrize("before", [
+    "<html><head><title>T</title><meta charset=utf-8><style>p{}</style>", "<head><title>T</title><noscript><link href=x></noscript><body>", "<head><script>var a;</script x>", "<title>T</title\n>",
+    "<body><form><select><option>A<option>B</form>", "<body><select><option>A", "<div><noscript><div><img></div>x</div>", "<div><svg><g><path/><title/></g></div>", "<div><object><param></div>",
+    "<nav><ul><li><video><source></ul></nav>", "<div><template><div>x</div></template></div>", "<div><iframe></iframe><canvas></div>",
+])
+def test_elements_left_open_hide_no_article(field, before):
+    assert html_extract.main_text(before + ARTICLE, field) == WHOLE
+
+
+def test_hidden_elements_stay_hidden(field):
+    for inside in ("<svg><title>no</title><g><text>no</text></g></svg>", "<select><option>no<option>no</select>", "<noscript><div><p>no</p></div>no</noscript>", "<template><template>no</template>no</template>", "<style>no</style>"):
+        assert html_extract.main_text(ARTICLE.replace("</h1>", "</h1>" + inside), field) == WHOLE
+
+
+def test_formulas_stay_in_their_sentence(field):
+    formula = '<math display="inline"><semantics><mrow><mi>a</mi><mo>&lt;</mo><mi>b</mi></mrow><annotation encoding="x">a \\lt b</annotation></semantics></math>'
+    page = ARTICLE.replace("long enough", f"long enough, since {formula},")
+    assert html_extract.main_text(page, field) == WHOLE.replace("long enough", "long enough, since a<b,")
+
+
+def test_pages_without_marks_are_read_by_made_ones(spark):
+    """No page has an article or main element; every page is found whole."""
+    made = []
+    for k in range(40):
+        text = [f"Paragraph {j} of text{k}, with a few words; it goes on for a while, as texts do, and then it ends." for j in range(4)]
+        body = f"<div class='content'><h1>Heading of text{k}</h1>" + "".join(f"<p>{x}</p>" for x in text) + "</div>"
+        page = f"<div class='menu'><ul><li><a href=x>Start</a></li><li><a href=y>Other menu</a></li></ul></div>{body}<div class='footer'>Copyright somebody</div>"
+        made.append((k, f"u{k}", page, "\n\n".join([f"Heading of text{k}", *text])))
+    found = html_extract.extract(spark.createDataFrame([r[:3] for r in made], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {r[0]: r[3] for r in made}
+
+
 def test_viterbi_and_fit_agree_with_enumeration():
     import itertools
 
