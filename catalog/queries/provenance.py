@@ -333,6 +333,16 @@ def _(t):
     return sp.spec_texts(_spec_lines(t), ["trace_id"]).select("trace_id", F.sha2("spec_text", 256).alias("digest"))
 
 
+@query(
+    "doc1_spec_pieces",
+    f"""with {SPEC_LINES}, whole as (select trace_id, string_agg("text", chr(10) order by section, pos, "text") spec from lines group by trace_id),
+    cut as (select *, unnest(generate_series(0, greatest(length(spec) - 1, 0) // 200)) piece from whole)
+    select trace_id, piece, piece * 200 "start", substr(spec, cast(piece * 200 + 1 as bigint), 200) "text" from cut""",
+)
+def _(t):
+    return sp.spec_pieces(_spec_lines(t), ["trace_id"], 200).select("trace_id", "piece", "start", "text")
+
+
 # Stored specs: one per customer and status; the batch: every order of the second half of the keys' statuses.
 VIEWS["sp_stored"] = "select 'c:'||cast(o_custkey as string) node_stable_id, 'repo0' repo, o_orderstatus commit_sha, 3 version, 'old' spec_text, 0.5e0 branch_coverage, 1 observed_calls, timestamp '1999-01-01' generated_at from {orders} where o_orderstatus <> 'P' group by 1, 2, 3"
 VIEWS["sp_batch"] = "select 'c:'||cast(o_custkey as string) node_stable_id, 'repo0' repo, o_orderstatus commit_sha, 'spec '||cast(o_orderkey as string) spec_text, o_totalprice branch_coverage, cast(o_orderkey % 50 as int) observed_calls, o_orderkey from {orders} where o_orderstatus <> 'F'"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.pieces import SIZE, text_pieces
 from strandline.operators import document as doc
 from strandline.operators import expand as ex
 from strandline.session import cut_lineage
@@ -47,7 +48,20 @@ def subgraph(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Data
 def answer(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, specs: DataFrame | None = None,
            effects: DataFrame | None = None, **options) -> DataFrame:
     """(query_id, document, tokens). ``queries`` also carries ``raw_query`` and ``repo``."""
+    return doc.assemble(answer_lines(queries, seeds, nodes, edges, specs, effects, **options))
+
+
+def answer_pieces(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, specs: DataFrame | None = None,
+                  effects: DataFrame | None = None, size: int = SIZE, **options) -> DataFrame:
+    """``answer`` for documents of any length: (query_id, piece, start, text, crc32) of at most ``size`` code points."""
+    lines = answer_lines(queries, seeds, nodes, edges, specs, effects, **options)
+    return text_pieces(lines, ["query_id"], doc.ORDER, "text", size=size)
+
+
+def answer_lines(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, specs: DataFrame | None = None,
+                 effects: DataFrame | None = None, **options) -> DataFrame:
+    """The ordered lines of all documents."""
     parts = subgraph(queries, seeds, nodes, edges, specs, **options)
     # The layers read these several times; the budget bounds the nodes they come from.
     found, warnings = cut_lineage(parts["edges"]), cut_lineage(parts["warnings"])
-    return doc.assemble(doc.document_lines(queries, parts["nodes"], found, warnings, effects))
+    return doc.document_lines(queries, parts["nodes"], found, warnings, effects)
