@@ -13,6 +13,7 @@ from strandline.operators import provenance as pv
 from strandline.operators import specs as sp
 from strandline.functions import text
 from strandline.operators.document import display_ids  # noqa: F401
+from strandline.session import written
 
 # ---- closure and reconciliation: every customer is an entry ------------------------------
 CLOSURE = """with recursive reach(entry, node) as (
@@ -229,8 +230,9 @@ def _(t):
 
 @query("jn17_confirm_static_edges", f"with {EDGE_PASSES} {EDGE_OUT} e2")
 def _(t):
-    linked = pv.upsert_dynamic_edges(t.p_edges, t.p_dynamic, t.p_nodes)
-    return _edge_out(pv.confirm_static_edges(linked, _records(t), now()))
+    linked = written(pv.upsert_dynamic_edges(t.p_edges, t.p_dynamic, t.p_nodes), "linked")
+    observed = written(_records(t).select("trace_id", "stable_id"), "observed")
+    return _edge_out(pv.confirm_static_edges(linked, observed, now()))
 
 
 @query(

@@ -43,6 +43,12 @@ def update_nodes(nodes: DataFrame, records: DataFrame, now: Column) -> DataFrame
     )
 
 
+def calls_of(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(CALLS edges, all others): only the former can change here, so the others take part in no join."""
+    calls = F.col("type").eqNullSafe("CALLS")
+    return edges.filter(calls), edges.filter(~calls)
+
+
 def upsert_dynamic_edges(edges: DataFrame, dynamic: DataFrame, nodes: DataFrame) -> DataFrame:
     """Dynamic CALLS edges whose ends exist: counts add up, an assigned provenance stays."""
     counted = dynamic.groupBy("source", "target").agg(F.sum("count").alias("__n"))
@@ -50,12 +56,13 @@ def upsert_dynamic_edges(edges: DataFrame, dynamic: DataFrame, nodes: DataFrame)
     for end in ("source", "target"):
         counted = counted.join(ids.withColumnRenamed("stable_id", end), end, "left_semi")
     counted = counted.withColumn("type", F.lit("CALLS"))
-    joined = edges.join(counted, ["source", "target", "type"], "full")
+    calls, others = calls_of(edges)
+    joined = calls.join(counted, ["source", "target", "type"], "full")
     seen = F.col("__n").isNotNull()
     kept = F.col("provenance").isin("static", "confirmed", "conflict")
     provenance = F.when(~seen | kept, F.col("provenance")).otherwise("dynamic")
     count = F.when(seen, F.coalesce("observed_count", F.lit(0)) + F.col("__n")).otherwise(F.col("observed_count"))
-    return joined.withColumns({"provenance": provenance, "observed_count": count}).select(edges.columns)
+    return joined.withColumns({"provenance": provenance, "observed_count": count}).select(edges.columns).unionByName(others)
 
 
 def trace_lists(observed: DataFrame, ends: DataFrame) -> DataFrame:
@@ -77,7 +84,8 @@ def met_pairs(pairs: DataFrame, observed: DataFrame) -> DataFrame:
     The end that fewer traces observed leads: its lists are compared with the other's of the same chunk. One chunk
     of each pair is looked at first, which settles pairs of frequent ends; only pairs without a hit go on to all chunks.
     """
-    wanted = pairs.select("source", "target").distinct()
+    # The ends, the counts and both rounds read the pairs.
+    wanted = written(pairs.select("source", "target").distinct(), "pairs")
     ends = wanted.select(F.col("source").alias("stable_id")).unionAll(wanted.select(F.col("target").alias("stable_id")))
     lists = trace_lists(observed, ends)
     counts = lists.groupBy("stable_id").agg(F.sum(F.size("traces")).alias("n"))
@@ -98,18 +106,23 @@ def met_pairs(pairs: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def confirm_static_edges(edges: DataFrame, observed: DataFrame, now: Column) -> DataFrame:
-    """Static CALLS edges with both ends observed in one trace become confirmed, counted once."""
-    static = edges.filter((F.col("provenance") == "static") & (F.col("type") == "CALLS"))
-    hit = met_pairs(static, observed).withColumns({"type": F.lit("CALLS"), "__hit": F.lit(True)})
-    joined = edges.join(hit, ["source", "target", "type"], "left")
-    confirmed = F.col("__hit").isNotNull() & (F.col("provenance") == "static")
-    return joined.withColumns(
+    """Static CALLS edges with both ends observed in one trace become confirmed, counted once.
+
+    Both inputs are read twice; callers write what is not a table.
+    """
+    fits = F.coalesce((F.col("provenance") == "static") & (F.col("type") == "CALLS"), F.lit(False))
+    static = edges.filter(fits)
+    hit = met_pairs(static, observed).withColumn("__hit", F.lit(True))
+    joined = static.join(hit, ["source", "target"], "left")
+    confirmed = F.col("__hit").isNotNull()
+    joined = joined.withColumns(
         {
             "observed_count": F.when(confirmed, F.coalesce("observed_count", F.lit(0)) + 1).otherwise(F.col("observed_count")),
             "confirmed_at": F.when(confirmed, now).otherwise(F.col("confirmed_at")),
             "provenance": F.when(confirmed, "confirmed").otherwise(F.col("provenance")),
         }
-    ).select(edges.columns)
+    )
+    return joined.select(edges.columns).unionByName(edges.filter(~fits))
 
 
 def settle_edges(edges: DataFrame, nodes: DataFrame, detect_conflicts: bool = True, downgrade_stale: bool = True) -> DataFrame:
@@ -144,5 +157,6 @@ def provenance_pass(nodes: DataFrame, edges: DataFrame, paths: DataFrame, calls:
     updated = update_nodes(nodes, records, now)
     linked = written(upsert_dynamic_edges(edges, dynamic, nodes), "linked")
     observed = records.select("trace_id", "stable_id")
-    settled = settle_edges(confirm_static_edges(linked, observed, now), updated)
-    return updated, settled
+    calls, others = calls_of(linked)
+    settled = settle_edges(confirm_static_edges(calls, observed, now), updated)
+    return updated, settled.unionByName(others)
