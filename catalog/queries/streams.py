@@ -21,14 +21,26 @@ from strandline.streaming import windows as wn
 BATCHES = {"events": "cast(floor((day(ts) - 1) / 7) as int)", "orders": "cast(o_orderkey % 4 as int)", "documents": "cast(doc_id % 4 as int)"}
 
 
+# Rows of a stream's file, about, where its smallest batch has as many.
+FILE_ROWS = 20_000
+
+
 def stream(t, table: str, by: str | None = None):
-    """The whole given table as a stream of one file, hence one micro-batch, per value of ``by`` (else ``BATCHES``)."""
+    """The whole given table as a stream of one micro-batch per value of ``by`` (else ``BATCHES``).
+
+    All batches have the same number of files, by the rows of the smallest, and a trigger takes that many; files are
+    written and read by as many tasks.
+    """
     rows, by = getattr(t, table), by or BATCHES[table]
     path = run_folder(t.spark, f"stream-{table}")
-    numbers = [r[0] for r in rows.selectExpr(f"{by} n").distinct().orderBy("n").collect()]
-    for n in numbers:
-        rows.filter(f"{by} = {n}").coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    sizes = {r[0]: r[1] for r in rows.selectExpr(f"{by} n").groupBy("n").count().orderBy("n").collect()}
+    files = max(1, min(sizes.values(), default=0) // FILE_ROWS)
+    for n in sizes:
+        batch = rows.filter(f"{by} = {n}")
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(path)
+    if files > 1 and len(t.spark.read.schema(rows.schema).parquet(path).inputFiles()) != files * len(sizes):
+        raise RuntimeError(f"a batch of {table} has not {files} files")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def over(t, view: str, source: str, rows):
