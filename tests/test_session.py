@@ -2,8 +2,13 @@
 
 import subprocess
 import sys
+import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from strandline.session import CLEANUP, written
+
 ROOT = Path(__file__).resolve().parents[1]
 
 # Neither PYTHONPATH nor a configured checkpoint folder; the driver finds the package by its own sys.path only.
@@ -31,3 +36,19 @@ def test_from_another_folder(tmp_path):
     env = {"PATH": __import__("os").environ["PATH"], "HOME": str(tmp_path), "JAVA_HOME": __import__("os").environ.get("JAVA_HOME", "")}
     done = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, env={k: v for k, v in env.items() if v}, capture_output=True, text=True, timeout=180)
     assert done.returncode == 0 and "fine" in done.stdout, done.stderr[-2000:]
+
+
+def shuffled(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in manager.getAllFiles().mkString("\n").split("\n") if f.endswith(".data")}
+
+
+def test_written_frees_what_its_plan_shuffled(spark):
+    before = shuffled(spark)
+    table = written(spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "freed")
+    until = time.time() + 20
+    while shuffled(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled(spark) - before
+    assert spark.conf.get(CLEANUP, "false") == "false"
+    assert sorted(r.n for r in table.collect()) == [1428] * 3 + [1429] * 4
