@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from strandline.operators.metrics import top_rows
+from strandline.operators.search import postings
 from strandline.operators.text_index import FIRST_PAGES, TextIndex, apply_change
 
 DOCS = "doc_id bigint, repo string, text string, active boolean"
@@ -101,3 +102,17 @@ def test_only_asked_buckets_and_needed_pages_are_read(spark, tmp_path):
     assert sorted(r.id for r in got) == list(range(10))
     # The term of all documents is many blocks, none of them a whole list.
     assert index.postings(buckets).where("term = 'needle'").agg(F.max("n")).first()[0] < 400
+
+
+def test_terms_are_counted_within_a_document(spark):
+    rows = [(1, "r", "b a B", True), (1, "r", "a c c", True), (1, "r", "a", True), (2, None, "x", True), (3, "r", "", True), (4, "r", None, True),
+            (5, "r", "a", None), (None, "r", "a", True)]
+    found = postings(spark.createDataFrame(rows, DOCS))
+    expected = [(1, "r", 1, "a", 1), (1, "r", 3, "a", 2), (1, "r", 3, "b", 2), (1, "r", 3, "c", 2), (2, None, 1, "x", 1), (None, "r", 1, "a", 1)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    assert found.columns == ["doc_id", "repo", "dl", "term", "tf"]
+    # No table of (document, term) pairs in a task.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "term" in line]
+    terms = spark.createDataFrame([("b",), ("b",)], "term string")
+    assert [tuple(r) for r in postings(spark.createDataFrame(rows, DOCS), terms).collect()] == [(1, "r", 3, "b", 2)]
