@@ -341,7 +341,7 @@ def _pieces(file: str, capacity: int):
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
         # The worker lives on beside other stages' tasks.
-        encoder(file).forget()
+        encoder(file).shrink()
 
     return run
 

@@ -518,3 +518,20 @@ def test_line_dedup_across_partitions(spark, partitions):
             if line in dropped and line not in seen:
                 seen.add(line)
                 assert line in kept[doc_id]
+
+
+def test_words_without_their_marks_are_encoded_once():
+    import pyarrow as pa
+
+    alphabet = ["Word", "word", "é", "É", "ǰ", "J̌", "é", "'s", "'", ".", ",", "!?", "...", ":;", "\n", "\n\n", " ", "  ", "1", "-", "ß", "Ж.", "́", "<|endoftext|>"]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        words = WordEncoder(public_tokenizers.path(name))
+        got = [ids[a:b].tolist() for ids, at in words.encode(pa.array(texts)) for a, b in zip(at, at[1:], strict=False)]
+        assert got == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    words = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    list(words.encode(pa.array(["word, word. word! word:\nword\nword é. é; end"])))
+    assert len(words.entry) == 8  # word é end , . ! : ;
+    words.shrink()
+    assert len(words.entry) == 8
