@@ -116,3 +116,20 @@ def test_terms_are_counted_within_a_document(spark):
     assert not [line for line in plan.splitlines() if "Aggregate" in line and "term" in line]
     terms = spark.createDataFrame([("b",), ("b",)], "term string")
     assert [tuple(r) for r in postings(spark.createDataFrame(rows, DOCS), terms).collect()] == [(1, "r", 3, "b", 2)]
+
+
+def test_lists_of_postings_are_gathered_by_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from strandline.operators import text_index
+
+    docs = spark.createDataFrame([(i, "r", f"word{i % 7} other{i % 3} all", True) for i in range(60)], "doc_id long, repo string, text string, active boolean")
+    read = lambda index: sorted(tuple(r) for r in index.postings().select("term", "repo", "page", "n", "docs", "tfs", "dls").collect())
+    dealt, found = [], []
+    repartition = type(docs).repartition
+    for postings in (1_000_000, 6):
+        monkeypatch.setattr(text_index, "TASK_POSTINGS", postings)
+        monkeypatch.setattr(type(docs), "repartition", lambda df, n, *by: (dealt.append(n), repartition(df, n, *by))[1])
+        index = text_index.TextIndex(spark, str(tmp_path / str(postings)))
+        index.write_segment(0, docs)
+        found.append(read(index))
+        monkeypatch.undo()
+    assert found[0] == found[1] and 30 in dealt
