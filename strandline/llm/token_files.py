@@ -17,17 +17,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import shuffle_partitions, stored, text_key
+from strandline.llm.common import shuffle_partitions, slices, stored, text_key
 from strandline.llm.tokens import encoder
 
 END = 0
 BLOCK, STEP = 4096, 512
 # Ids of a segment; a longer document makes a longer segment.
 SEGMENT = 4_000_000
+# Bytes of texts that a worker takes apart at once.
+TAKEN = 4 << 20
 MAGIC = b"CMR3"
 
 # Binary digits of the weights, of the order-0 frequencies, and of the hashes of one and two ids.
@@ -306,7 +309,7 @@ def _to_segments(vocabulary: str):
         doc_ids: list = []
         sizes: list[int] = []
         parts: list[np.ndarray] = []
-        held = 0
+        held, words = 0, encoder(vocabulary)
 
         def row():
             values = [[part], [segment], [held], [doc_ids], [sizes], [encode(np.concatenate(parts))]]
@@ -314,9 +317,10 @@ def _to_segments(vocabulary: str):
             names = ["part", "segment", "n_tokens", "doc_ids", "sizes", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-        for batch in batches:
-            names = iter(batch.column(0).to_pylist())
-            for ids, offsets in encoder(vocabulary).encode(batch.column(1)):
+        # Words of a few texts at a time; between them a worker drops what it remembers if that is much.
+        for some in (s for batch in batches for s in slices(batch, pc.binary_length(batch.column(1)), TAKEN)):
+            names = iter(some.column(0).to_pylist())
+            for ids, offsets in words.encode(some.column(1)):
                 # The end id goes behind each document.
                 parts.append(np.insert(ids, offsets[1:], np.uint32(END)))
                 lengths = (np.diff(offsets) + 1).tolist()
@@ -326,6 +330,7 @@ def _to_segments(vocabulary: str):
                 if held >= SEGMENT:
                     yield row()
                     segment, held, doc_ids, sizes, parts = segment + 1, 0, [], [], []
+            words.shrink()
         if sizes:
             yield row()
 

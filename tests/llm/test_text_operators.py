@@ -8,11 +8,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from strandline.llm import langid, licences, line_dedup, mixing, packing, quality, simhash, token_files
+from strandline.llm import langid, licences, line_dedup, mixing, packing, quality, simhash, token_files, tokens
 from strandline.llm.tokens import WordEncoder
 from tests.llm.conftest import text_rows
 
@@ -199,6 +200,26 @@ def test_token_files(spark, awkward, no_docs, monkeypatch):
 # ---- 3 mixing ----
 
 
+def test_tokens_of_a_batch_go_by_parts_and_words_are_dropped_between(monkeypatch):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, ""] + [f"word{i} and{i % 7}  tail{i}\n" * 3 for i in range(60)]
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(token_files.TaskContext, "get", classmethod(lambda c: type("T", (), {"partitionId": lambda self: 0})()))
+    ids = lambda: np.concatenate([token_files.decode(r.column("payload")[0].as_py()) for r in token_files._to_segments(file)([batch(), batch()])])
+    want, known, dropped = ids(), token_files.encoder(file), []
+    assert np.array_equal(want, np.concatenate([[*known.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts * 2]))
+    forget = known.forget
+    monkeypatch.setattr(known, "forget", lambda: (dropped.append(known.n), forget()))
+    monkeypatch.setattr(tokens, "KEPT", 40)
+    monkeypatch.setattr(token_files, "TAKEN", 300)
+    # A segment that ends within a part does not take the words away that the rest of the part needs.
+    for size in (token_files.SEGMENT, 100):
+        monkeypatch.setattr(token_files, "SEGMENT", size)
+        dropped.clear()
+        assert np.array_equal(ids(), want)
+        assert len(dropped) > 2 and max(dropped[1:]) < 100
+
+
 def test_mixing(spark, awkward, no_docs):
     rows = mixing.mix(awkward).collect()
     docs = text_rows()
