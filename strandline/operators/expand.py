@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from strandline.functions import labels
 from strandline.operators.search import DECAY, HOP_DEPTH, MAX_TOKENS
-from strandline.session import removed, run_folder, written
+from strandline.session import SORTED_LISTS, removed, run_folder, setting, written
 
 # A query with more rows to go on from, or with a row of more steps than that, has its finds in parts.
 FRONTIER, HUB, PARTS = 1_000, 10_000, 64
 # Queries, and nodes with their steps, are dealt to slices; as many are worked on at once as have about so many rows.
-SLICES, SLICE_ROWS = 16, 3_000_000
+SLICES, SLICE_ROWS = 8, 3_000_000
 # 64-bit words of the sketch of a query's nodes.
 WORDS = 4
 
@@ -48,13 +48,25 @@ def moves(edges: DataFrame, weights: dict[str, float] | None = None) -> DataFram
     """
     weighted = edges.filter(labels.edge_weight(F.col("type"), weights) > 0)
     # The same edge stored twice offers the same step twice; the best of equals is one row.
-    rest = [F.col("type").alias("edge_type"), "provenance"]
     backward = sorted({kind for way, kinds in RULES.values() if way == "in" for kind in kinds})
-    out = weighted.select(F.lit("out").alias("way"), F.col("source").alias("parent_id"), F.col("target").alias("stable_id"), *rest)
-    back = weighted.filter(F.col("type").isin(backward)).select(
-        F.lit("in").alias("way"), F.col("target").alias("parent_id"), F.col("source").alias("stable_id"), *rest
-    )
-    return out.unionByName(back)
+    step = lambda way, parent, child: F.struct(F.lit(way).alias("way"), F.col(parent).alias("parent_id"), F.col(child).alias("stable_id"))
+    out, back = step("out", "source", "target"), step("in", "target", "source")
+    # Edges may be costly to make: they are read once for both ways.
+    ways = F.explode(F.when(F.col("type").isin(backward), F.array(out, back)).otherwise(F.array(out)))
+    return weighted.select(ways.alias("s"), F.col("type").alias("edge_type"), "provenance").select("s.*", "edge_type", "provenance")
+
+
+def bundles(steps: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Steps of one kind from one node as one row (way, parent_id, edge_type, provenance, ``ends``).
+
+    They score alike, so they meet a frontier row and move as one. A node with very many steps has them in parts, dealt to
+    several tasks; ``hubs`` holds (way, parent_id, n) of such nodes.
+    """
+    dealt = F.coalesce(F.pmod(F.xxhash64("stable_id"), F.ceil(F.col("n") / HUB)), F.lit(0))
+    dealt_steps = steps.join(hubs, ["parent_id", "way"], "left").withColumn("__deal", dealt).drop("n")
+    kind = ["parent_id", "way", "edge_type", "provenance", "__deal"]
+    # There are nearly as many kinds as steps: they are not gathered before they move.
+    return dealt_steps.repartition("parent_id", "way", "__deal").groupBy(*kind).agg(F.collect_list("stable_id").alias("ends")).drop("__deal")
 
 
 def neighbors(frontier: DataFrame, steps: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
@@ -62,7 +74,8 @@ def neighbors(frontier: DataFrame, steps: DataFrame, carried: Sequence[str] = ()
     asked = frontier.select(
         "query_id", "query_type", direction(F.col("query_type")).alias("way"), F.col("stable_id").alias("parent_id"), "score", *carried
     )
-    joined = asked.join(steps, ["way", "parent_id"])
+    # Rows are compared by the first key, which tells most of them apart.
+    joined = asked.join(steps, ["parent_id", "way"])
     return joined.filter(follows(F.col("query_type"), F.col("edge_type"))).drop("way")
 
 
@@ -82,7 +95,7 @@ def expanded(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Data
 
     Rows of one (query, part) are in one task; only large queries have several parts.
     """
-    return candidates(queries, seeds, nodes, edges, hops, decay, carried, **weights)(lambda best: best.sortWithinPartitions("query_id", "parent_id"))
+    return candidates(queries, seeds, nodes, edges, hops, decay, carried, **weights)(lambda best: best)
 
 
 def candidates(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = HOP_DEPTH,
@@ -90,17 +103,24 @@ def candidates(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Da
     """All hops but the choice among the last one's candidates: a function that gives ``expanded`` rows with ``__slice``
     behind a step of its own, which gets all rows of a (query, part) in one task. It can be called once.
 
-    Steps to inactive nodes are left out once, before any hop. A hop's candidates are written as they were found, and move
-    once, by query and part. Both go a group of slices after another, the former by slices of nodes, the latter of
-    queries: only what one group moves is on disk at a time, and slices of tables that were read for the last time go
-    with their group. The best of each node is then taken where they are.
+    Steps to inactive nodes are left out once, before any hop, and lie in bundles. A hop's candidates are written as
+    bundles, and move once, by query and part; they are told apart where the choice is made. Both go a group of slices
+    after another, the former by slices of nodes, the latter of queries: only what one group moves is on disk at a time,
+    and slices of tables that were read for the last time go with their group. The best of each node is then taken where
+    they are.
     """
     spark = queries.sparkSession
     active = nodes.filter(F.col("active")).select("stable_id")
-    steps = moves(edges, weights.get("edge_weights")).join(active, "stable_id", "left_semi")
-    walked = run_folder(spark, "steps")
-    steps = written(steps.withColumn("__at", node_slice("parent_id")), "steps", "__at", into=walked)
+    single = run_folder(spark, "single")
+    # A task's share of the nodes' ids is small, whatever the steps to one of them: steps are not sorted for it.
+    steps = moves(edges, weights.get("edge_weights")).join(active.hint("shuffle_hash"), "stable_id", "left_semi")
+    steps = written(steps, "single", into=single)
     hubs = written(hubs_of(steps), "hubs")
+    walked = run_folder(spark, "steps")
+    with setting(spark, SORTED_LISTS, "false"):
+        steps = written(bundles(steps, hubs).withColumn("__at", node_slice("parent_id")), "steps", "__at", into=walked)
+    removed(spark, single)
+    hubs = hubs.drop("n")
     empty = F.lit(None).cast("string")
     visited = (
         seeds.select("query_id", "stable_id").distinct().join(queries.select("query_id", "query_type", *carried), "query_id")
@@ -112,7 +132,7 @@ def candidates(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Da
     columns, carried = visited.columns, [*carried, "__slice"]
     known = run_folder(spark, "visited")
     visited = written(visited, "visited", "__slice", into=known)
-    settled = _settled(visited, visited.limit(0), queries.select("query_id").limit(0), carried, [known])
+    settled = _settled(visited, _bundled(visited.limit(0)), queries.select("query_id").limit(0), carried, [known])
     for hop in range(hops):
         frontier = visited.filter(F.col("hop") == hop)
         large = large_queries(frontier, hubs)
@@ -122,23 +142,37 @@ def candidates(queries: DataFrame, seeds: DataFrame, nodes: DataFrame, edges: Da
         if hop < hops - 1:
             # The next candidates and the rows they compete with both come from here.
             known = run_folder(spark, "visited")
-            visited = settled(lambda best: best.select(columns).sortWithinPartitions("__slice", "query_id", "parent_id"), stored=True, into=known)
+            visited = settled(lambda best: best.select(columns), stored=True, into=known)
     return settled
 
 
+def _bundled(rows: DataFrame) -> DataFrame:
+    """Rows of single nodes in the form of candidates: with ``ends`` in place of ``stable_id``."""
+    return rows.select(*[F.array("stable_id").alias("ends") if c == "stable_id" else c for c in rows.columns])
+
+
 def _found(frontier: DataFrame, steps: DataFrame, hop: int, decay: float, carried: Sequence[str], columns: list[str],
            weights: dict, folder: str, spent: Sequence[str]) -> DataFrame:
     """The candidates of a hop as a table by ``__slice``, a group of the nodes to go on from after another."""
     at_once = slices_at_once(frontier, steps)
+    many = at_once < SLICES and slices_at_once(frontier) < SLICES
+    columns = ["ends" if c == "stable_id" else c for c in columns]
+    met = []
+    if many:
+        # Each group reads its own rows only.
+        met = [run_folder(frontier.sparkSession, "frontier")]
+        frontier = written(frontier.withColumn("__at", node_slice("stable_id")), "frontier", "__at", into=met[0])
+    else:
+        frontier = frontier.withColumn("__at", node_slice("stable_id"))
 
     def found(ours):
-        rows = neighbors(frontier.filter(ours(node_slice("stable_id"))), steps.filter(ours(F.col("__at"))).drop("__at"), carried)
+        rows = neighbors(frontier.filter(ours(F.col("__at"))), steps.filter(ours(F.col("__at"))).drop("__at"), carried)
         rows = rows.withColumn("score", labels.hop_score(F.col("score"), decay, F.col("edge_type"), F.col("provenance"), **weights))
-        rows = rows.filter(F.col("score") > 0).withColumn("hop", F.lit(hop + 1))
-        # Rows of a query side by side are small on disk.
-        return rows.select(columns).sortWithinPartitions("__slice", "query_id", "parent_id")
+        return rows.filter(F.col("score") > 0).withColumn("hop", F.lit(hop + 1)).select(columns)
 
-    return _group_by_group(found, "found", at_once, folder, ["__slice"], [(f, "__at") for f in spent])
+    found = _group_by_group(found, "found", at_once, folder, ["__slice"], [(f, "__at") for f in [*spent, *met]])
+    removed(frontier.sparkSession, *met)
+    return found
 
 
 def _group_by_group(make: Callable[[Callable[[Column], Column]], DataFrame], label: str, at_once: int, folder: str, by: Sequence[str],
@@ -179,14 +213,19 @@ def _settled(visited: DataFrame, found: DataFrame, large: DataFrame, carried: Se
     parted = not large.isEmpty()
 
     def choice(step, visited, found):
-        rows = visited.unionByName(found)
+        rows = _bundled(visited).unionByName(found)
         if parted:
+            # Bundles of large queries are taken apart before they move, since their nodes go to several tasks.
             rows = rows.join(large.withColumn("__large", F.lit(True)), "query_id", "left")
-            part = F.when(F.col("__large"), F.pmod(F.xxhash64("stable_id"), F.lit(PARTS)).cast("int")).otherwise(0)
-            rows = rows.withColumn("__part", part).drop("__large")
+            part = lambda node: F.pmod(F.xxhash64(node), F.lit(PARTS)).cast("int")
+            single = F.transform("ends", lambda node: F.struct(part(node).alias("part"), F.array(node).alias("ends")))
+            whole = F.array(F.struct(F.lit(0).alias("part"), "ends"))
+            rows = rows.select("*", F.explode(F.when(F.col("__large"), single).otherwise(whole)).alias("__b"))
+            rows = rows.withColumns({"__part": F.col("__b.part"), "ends": F.col("__b.ends")}).drop("__b", "__large")
         else:
             rows = rows.withColumn("__part", F.lit(0))
-        return step(_best(rows.repartition("query_id", "__part"), carried))
+        rows = rows.repartition("query_id", "__part").withColumn("stable_id", F.explode("ends")).drop("ends")
+        return step(_best(rows, carried))
 
     def settled(step, stored=False, into=None):
         return in_slices(lambda *rows: choice(step, *rows), "chosen", visited, found, stored=stored, spent=spent, into=into)
@@ -224,8 +263,8 @@ def in_slices(make: Callable[..., DataFrame], label: str, *tables: DataFrame, st
 
 
 def hubs_of(steps: DataFrame) -> DataFrame:
-    """Nodes (way, parent_id) with very many steps."""
-    return steps.groupBy("way", "parent_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB).drop("n")
+    """Nodes (way, parent_id, n) with very many steps."""
+    return steps.groupBy("parent_id", "way").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB)
 
 
 def large_queries(frontier: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -238,15 +277,18 @@ def large_queries(frontier: DataFrame, hubs: DataFrame) -> DataFrame:
 def _best(rows: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """Best row per (query, node): score, then the earlier hop, then the smaller parent and edge.
 
-    A minimum of structs is aggregated by sorting; the leading 64-bit hash makes most
-    comparisons of that sort a comparison of numbers.
+    A minimum of structs is aggregated by sorting; the leading 64-bit hash makes most comparisons of that sort a
+    comparison of numbers. Its upper half is of the query, so that a query's rows come out side by side, which is small on
+    disk. What depends on the query alone is carried behind the rank.
     """
-    rank = F.struct((-F.col("score")).alias("s"), "hop", "parent_id", "edge_type", "provenance")
-    key = F.xxhash64("query_id", "stable_id").alias("__h")
-    kept = rows.groupBy(key, "query_id", "__part", "query_type", *carried, "stable_id").agg(F.min(rank).alias("r"))
+    rest = ["query_type", *carried]
+    rank = F.struct((-F.col("score")).alias("s"), "hop", "parent_id", "edge_type", "provenance", *rest)
+    half = F.lit(0xFFFFFFFF).cast("bigint")
+    key = F.shiftleft(F.xxhash64("query_id"), 32).bitwiseOR(F.xxhash64("stable_id").bitwiseAND(half)).alias("__h")
+    kept = rows.groupBy(key, "query_id", "stable_id", "__part").agg(F.min(rank).alias("r"))
     return kept.select(
-        "query_id", "query_type", "stable_id", (-F.col("r.s")).alias("score"), "r.hop", "r.parent_id", "r.edge_type", "r.provenance", *carried,
-        "__part",
+        "query_id", "r.query_type", "stable_id", (-F.col("r.s")).alias("score"), "r.hop", "r.parent_id", "r.edge_type", "r.provenance",
+        *[F.col(f"r.{c}") for c in carried], "__part",
     )
 
 

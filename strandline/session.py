@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,8 @@ RUNTIME_OPTIONS = {
 
 # Whether an execution removes its shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Whether lists are gathered in a map of keys, which turns to sorting at 128 of them, or by sorting from the start ("false").
+SORTED_LISTS = "spark.sql.execution.useObjectHashAggregateExec"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -95,6 +99,17 @@ def run_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A runtime option for the plans that run inside; what it was before holds again afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str, *by: str, into: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: no lineage, like a checkpoint, and of known size for joins with it.
 
@@ -103,12 +118,8 @@ def written(df: DataFrame, label: str, *by: str, into: str | None = None) -> Dat
     """
     spark = df.sparkSession
     folder = into or run_folder(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with setting(spark, CLEANUP, "true"):
         df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(folder)
-    finally:
-        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(folder)
     return table.select(*df.columns) if by else table
 
